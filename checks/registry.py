@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks import history_checks  # noqa: F401
+from checks import history_checks, market_checks, metric_checks  # noqa: F401
 from checks.spec import CHECKS
 
 __all__ = ["CHECKS"]

@@ -118,3 +118,101 @@ FROM (
   FROM starters a LEFT JOIN starters b
     ON a.subject_id = b.subject_id AND a.surface = b.surface AND b.contest_date < a.contest_date)
 GROUP BY contest_id, subject_id"""
+
+CTES["reasons"] = """
+SELECT contest_id, starters, CASE WHEN starters = 0 THEN 'no_starters' WHEN bad > 0 THEN 'invalid_or_duplicate_number'
+  WHEN starters < 4 THEN 'field_too_small' WHEN unpriced > 0 THEN 'missing_or_invalid_odds' ELSE 'complete' END AS reason
+FROM (SELECT contest_id, count(CASE WHEN status <> 'scratched' THEN 1 END) AS starters,
+        count(CASE WHEN status <> 'scratched' AND (entry_no IS NULL OR entry_no <= 0) THEN 1 END)
+        + count(CASE WHEN status <> 'scratched' THEN entry_no END)
+        - count(DISTINCT CASE WHEN status <> 'scratched' THEN entry_no END) AS bad,
+        count(CASE WHEN status <> 'scratched' AND NOT coalesce(win_odds > 1, false) THEN 1 END) AS unpriced
+      FROM entries GROUP BY contest_id)"""
+CTES["win_prob"] = """
+SELECT s.contest_id, s.subject_id, s.entry_no, s.field_size, (1 / win_odds) / sum(1 / win_odds) OVER (PARTITION BY s.contest_id) AS w,
+  sum(1 / win_odds) OVER (PARTITION BY s.contest_id) AS overround
+FROM starters s JOIN reasons r ON r.contest_id = s.contest_id WHERE r.reason = 'complete'"""
+# Every ordered pair of starters, for the second and third place.
+CTES["pair_terms"] = """
+SELECT a.contest_id, a.subject_id,
+  sum(b.w / (1 - b.w)) AS others, sum(a.w * b.w * (1 / (1 - a.w) + 1 / (1 - b.w)) / (1 - a.w - b.w)) AS v
+FROM win_prob a JOIN win_prob b ON a.contest_id = b.contest_id AND a.subject_id <> b.subject_id
+GROUP BY a.contest_id, a.subject_id"""
+CTES["market"] = """
+SELECT p.*, w AS p_first, w * others AS p_second,
+  w * (sum(v) OVER (PARTITION BY p.contest_id) / 2 - v) AS p_third,
+  w + w * others + w * (sum(v) OVER (PARTITION BY p.contest_id) / 2 - v) AS p_top
+FROM win_prob p JOIN pair_terms t ON t.contest_id = p.contest_id AND t.subject_id = p.subject_id"""
+CTES["prior"] = "SELECT avg(label) AS m FROM starters WHERE year(contest_date) BETWEEN 1995 AND 1999"
+CTES["banded"] = """
+SELECT p.*, CAST(year(contest_date) AS VARCHAR) AS year,
+  CASE WHEN field_size IS NULL THEN 'UNKNOWN' WHEN field_size <= 11 THEN '<=11' WHEN field_size <= 14 THEN '12-14'
+       WHEN field_size <= 16 THEN '15-16' ELSE '17+' END AS field_size_band,
+  CASE WHEN days_since_prev IS NULL THEN 'UNKNOWN' WHEN days_since_prev <= 21 THEN '<=21' WHEN days_since_prev <= 35 THEN '22-35'
+       WHEN days_since_prev <= 56 THEN '36-56' WHEN days_since_prev <= 90 THEN '57-90' ELSE '91+' END AS rest_band,
+  CASE WHEN career_starts <= 5 THEN '3-5' WHEN career_starts <= 10 THEN '6-10' WHEN career_starts <= 20 THEN '11-20' ELSE '21+' END AS starts_band
+FROM panel p"""
+CTES["form_raw"] = """
+SELECT b.*, m.p_top AS p_market, least(greatest(3.0 / b.field_size, 1e-12), 1 - 1e-12) AS p_uniform,
+  (career_top3 + 6 * (SELECT m FROM prior)) / (career_starts + 6.0) AS form,
+  ln(((career_top3 + 6 * (SELECT m FROM prior)) / (career_starts + 6.0)) /
+     (1 - (career_top3 + 6 * (SELECT m FROM prior)) / (career_starts + 6.0))) AS x
+FROM banded b JOIN market m ON m.contest_id = b.contest_id AND m.subject_id = b.subject_id"""
+CTES["form_shift"] = """/*recursive*/
+SELECT contest_id, 0 AS i, CAST(-40.0 AS DOUBLE) AS lo, CAST(40.0 AS DOUBLE) AS hi, least(3.0, count(*) - 1e-9) AS goal
+FROM form_raw GROUP BY contest_id
+UNION ALL
+SELECT f.contest_id, f.i + 1,
+  CASE WHEN sum(1 / (1 + exp(-(r.x + (f.lo + f.hi) / 2)))) < f.goal THEN (f.lo + f.hi) / 2 ELSE f.lo END,
+  CASE WHEN sum(1 / (1 + exp(-(r.x + (f.lo + f.hi) / 2)))) < f.goal THEN f.hi ELSE (f.lo + f.hi) / 2 END, f.goal
+FROM form_shift f JOIN form_raw r ON r.contest_id = f.contest_id WHERE f.i < 60
+GROUP BY f.contest_id, f.i, f.lo, f.hi, f.goal"""
+CTES["wide"] = """
+SELECT r.* EXCLUDE (x, form), 1 / (1 + exp(-(r.x + (s.lo + s.hi) / 2))) AS p_form
+FROM form_raw r JOIN form_shift s ON s.contest_id = r.contest_id AND s.i = 60"""
+CTES["preds"] = """
+SELECT 'market' AS candidate, p_market AS p, * FROM wide UNION ALL
+SELECT 'uniform' AS candidate, p_uniform AS p, * FROM wide UNION ALL
+SELECT 'form' AS candidate, p_form AS p, * FROM wide"""
+CTES["entry_loss"] = """
+SELECT *, (p - label) * (p - label) AS brier,
+  -(label * ln(least(greatest(p, 1e-12), 1 - 1e-12)) + (1 - label) * ln(1 - least(greatest(p, 1e-12), 1 - 1e-12))) AS log_loss
+FROM preds"""
+CTES["losses"] = """
+SELECT candidate, contest_id, min(contest_date) AS block, count(*) AS rows, avg(brier) AS brier, avg(log_loss) AS log_loss
+FROM entry_loss GROUP BY candidate, contest_id"""
+CTES["scores"] = """
+SELECT candidate, avg(brier) AS macro_brier, avg(log_loss) AS macro_log_loss,
+  sum(brier * rows) / sum(rows) AS micro_brier, sum(log_loss * rows) / sum(rows) AS micro_log_loss,
+  count(*) AS contests, sum(rows) AS rows
+FROM losses GROUP BY candidate"""
+CTES["best"] = "SELECT candidate AS best FROM scores ORDER BY macro_brier, macro_log_loss, candidate LIMIT 1"
+CTES["diffs"] = """
+SELECT l.candidate, l.block, l.brier - r.brier AS db, l.log_loss - r.log_loss AS dl
+FROM losses l JOIN losses r ON r.contest_id = l.contest_id WHERE r.candidate = (SELECT best FROM best)"""
+CTES["deltas"] = """
+SELECT m.candidate, m.n AS contests, m.mb AS mean_brier_delta, m.ml AS mean_log_loss_delta, count(*) AS clusters,
+  sqrt(count(*) / (count(*) - 1.0) * sum(pow(g.sb, 2)) / pow(m.n, 2)) AS se_brier_delta,
+  sqrt(count(*) / (count(*) - 1.0) * sum(pow(g.sl, 2)) / pow(m.n, 2)) AS se_log_loss_delta
+FROM (SELECT candidate, count(*) AS n, avg(db) AS mb, avg(dl) AS ml FROM diffs GROUP BY candidate) m
+JOIN (SELECT d.candidate, d.block, sum(d.db - a.mb) AS sb, sum(d.dl - a.ml) AS sl FROM diffs d
+      JOIN (SELECT candidate, avg(db) AS mb, avg(dl) AS ml FROM diffs GROUP BY candidate) a ON a.candidate = d.candidate
+      GROUP BY d.candidate, d.block) g ON g.candidate = m.candidate
+GROUP BY m.candidate, m.n, m.mb, m.ml"""
+CTES["engineered"] = """
+SELECT p.*, ln(1 + days_since_prev) AS log_days_since_prev,
+  (career_top3 + 6 * q.m) / (career_starts + 6.0) AS career_shrunk, (turf_top3 + 6 * q.m) / (turf_starts + 6.0) AS turf_shrunk,
+  (same_distance_top3 + 6 * q.m) / (same_distance_starts + 6.0) AS same_distance_shrunk,
+  (same_course_top3 + 6 * q.m) / (same_course_starts + 6.0) AS same_course_shrunk,
+  ln(1 + career_starts) AS log_career_starts
+FROM panel p, prior q"""
+CTES["relative"] = """
+SELECT e.*,
+  career_shrunk - (sum(career_shrunk) OVER c - career_shrunk) / nullif(count(career_shrunk) OVER c - 1, 0) AS rel_career,
+  same_distance_shrunk - (sum(same_distance_shrunk) OVER c - same_distance_shrunk) / nullif(count(same_distance_shrunk) OVER c - 1, 0) AS rel_same_distance,
+  same_course_shrunk - (sum(same_course_shrunk) OVER c - same_course_shrunk) / nullif(count(same_course_shrunk) OVER c - 1, 0) AS rel_same_course,
+  (sum(recent3_finish_pct) OVER c - recent3_finish_pct) / nullif(count(recent3_finish_pct) OVER c - 1, 0) - recent3_finish_pct AS rel_recent3_finish,
+  (sum(recent3_rel_time) OVER c - recent3_rel_time) / nullif(count(recent3_rel_time) OVER c - 1, 0) - recent3_rel_time AS rel_recent3_time
+FROM engineered e WINDOW c AS (PARTITION BY contest_id)"""
+CTES["cohort"] = """
+SELECT * FROM panel WHERE surface = 'turf' AND field_size >= 8 AND career_starts >= 3"""
