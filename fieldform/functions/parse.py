@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldform.functions.contest import course_mask
 from fieldform.functions.probability import col
@@ -119,7 +120,7 @@ def map_values(value: str | Column, mapping: Mapping[str, str], keep: bool = Fal
     return out.otherwise(v) if keep else out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC without any white space; Spark has no built-in for it."""
     return text.map(lambda s: None if s is None else "".join(unicodedata.normalize("NFKC", s).split()))

@@ -34,9 +34,13 @@ def _unconfigured_dir() -> str:
     return tempfile.mkdtemp(prefix="fieldform-")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write once, read back: later readers share the result and survive lost executors."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
