@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldform.functions.probability import brier, convex_blend, log_loss
 from fieldform.operators.metrics import candidate_scores
-from fieldform.scale import names
+from fieldform.scale import materialize, names
 
 CONTEST = "contest_id"
 GATE_SLACK = 1e-15  # fixed value
@@ -110,7 +110,8 @@ def select_one_se(losses: DataFrame, incumbent: str | None, k: float = 1.0) -> t
     """Keep the incumbent while it lies within k standard errors of the best, else take the best."""
     if k < 0:
         raise ValueError("k must not be negative")
-    table = score_table(losses, k)
+    # Scores, reference and differences all read the losses; compute them once.
+    table = score_table(materialize(losses, "losses"), k)
     is_incumbent = F.col("candidate") == F.lit(incumbent)
     kept = F.coalesce(F.max(F.when(is_incumbent, F.col("within_brier"))), F.lit(False))
     decision = table.agg(
@@ -132,7 +133,7 @@ def select_one_se(losses: DataFrame, incumbent: str | None, k: float = 1.0) -> t
 
 def select_simplest_one_se(losses: DataFrame, complexity: DataFrame) -> DataFrame:
     """Among candidates within one standard error of the best, the least complex one."""
-    table = score_table(losses).join(complexity, "candidate")
+    table = score_table(materialize(losses, "losses")).join(complexity, "candidate")
     order = F.struct("complexity_rank", "macro_brier", "macro_log_loss", "candidate")
     chosen = table.filter("within_brier").agg(F.min_by("candidate", order)).scalar()
     return table.withColumn("is_selected", F.col("candidate") == chosen)
@@ -179,7 +180,7 @@ def blend_losses(
 def blend_grid(df: DataFrame, market: str, model: str, weights: Sequence[float] = DEFAULT_WEIGHTS,
                radius: float = 0.1) -> DataFrame:
     """Micro scores per weight; the best has the lowest Brier, then log loss, then weight."""
-    losses = blend_losses(df, market, model, weights)
+    losses = materialize(blend_losses(df, market, model, weights), "blend-losses")
     n = F.sum("rows")
     scores = losses.groupBy("weight").agg(
         (F.sum(F.col("brier") * F.col("rows")) / n).alias("brier"),
@@ -196,7 +197,7 @@ def blend_one_se(
     df: DataFrame, market: str, model: str, weights: Sequence[float] = DEFAULT_WEIGHTS
 ) -> tuple[DataFrame, DataFrame]:
     """Blend grid under the gate with the market (weight 0) as the incumbent."""
-    losses = blend_losses(df, market, model, weights)
+    losses = materialize(blend_losses(df, market, model, weights), "blend-losses")
     table, decision = select_one_se(losses.drop("weight"), blend_name(0.0))
     registry = losses.select("candidate", "weight").distinct()
     return table.join(registry, "candidate"), decision.join(

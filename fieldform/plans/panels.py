@@ -16,3 +16,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _written:
         _written[key] = scale.materialize(history.build_panel(starters(spark, sf_dir)), "panel")
     return _written[key]
+
+
+def blocks_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panel with the block histories of every entry."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#blocks")
+    if key not in _written:
+        _written[key] = scale.materialize(history.strict_prior_blocks(panel(spark, sf_dir)), "blocks")
+    return _written[key]
