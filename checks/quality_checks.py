@@ -653,8 +653,10 @@ WITH d AS (SELECT contest_date, count(DISTINCT contest_id) AS n FROM entries GRO
 r AS (SELECT contest_date, sum(n) OVER (ORDER BY contest_date) AS contests, row_number() OVER (ORDER BY contest_date) AS dates,
   date_diff('day', min(contest_date) OVER (), contest_date) AS elapsed_days FROM d)
 ----
-SELECT 'review_ready' AS status, contest_date AS window_end, contests, dates, elapsed_days FROM r
-WHERE contests >= 1000 AND dates >= 60 AND elapsed_days >= 90 ORDER BY contest_date LIMIT 1""",
+SELECT CASE WHEN h.contest_date IS NULL THEN 'collecting' ELSE 'review_ready' END AS status, h.contest_date AS window_end,
+  coalesce(h.contests, r.contests) AS contests, coalesce(h.dates, r.dates) AS dates, coalesce(h.elapsed_days, r.elapsed_days) AS elapsed_days
+FROM r LEFT JOIN (SELECT * FROM r WHERE contests >= 1000 AND dates >= 60 AND elapsed_days >= 90 ORDER BY contest_date LIMIT 1) h ON true
+ORDER BY r.contest_date DESC LIMIT 1""",
 )
 def _(spark, sf):
     return quality.first_qualifying_window(entries(spark, sf), 1000, 60, 90)
