@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from checks.market_checks import newton_sql  # noqa: F401
 from checks.spec import check
-from fieldform.operators import cohorts, history, metrics, ranking, relative, selection
-from fieldform.plans.panels import panel
+from fieldform.operators import cohorts, metrics, ranking, relative, selection
+from fieldform.plans.panels import blocks_panel, panel
 from fieldform.plans.predictions import long_predictions, predictions, training_prior
 
 KEYS = "contest_id:i subject_id:i "
@@ -301,7 +301,6 @@ SELECT * FROM (SELECT contest_id, subject_id, field_size, career_starts, own_tur
 FROM d WINDOW c AS (PARTITION BY contest_id)) WHERE field_size >= 8 AND career_starts >= 3""",
 )
 def _(spark, sf):
-    rows = panel(spark, sf)
-    context = history.strict_prior_blocks(rows)
+    context = blocks_panel(spark, sf)
     chosen = cohorts.select_cohort(context, "dirt")
-    return relative.block_features(chosen, context, training_prior(rows), surface="dirt")
+    return relative.block_features(chosen, context, training_prior(context), surface="dirt")

@@ -140,17 +140,27 @@ def _before(value: str, keys: Sequence[str]) -> Column:
 
 def cell_counts(cells: DataFrame) -> DataFrame:
     """Prior starts and successes in the same distance+surface and same venue+surface."""
+    return cells.withColumn("day", epoch_day(DAY)).select(*CELL, *_count_columns())
+
+
+def _count_columns() -> list[Column]:
     cols = []
     for name, keys in COUNT_GROUPS.items():
         cols += [_before("n", keys).alias(f"{name}_starts"), _before("s", keys).alias(f"{name}_top3")]
-    return cells.withColumn("day", epoch_day(DAY)).select(*CELL, *cols)
+    return cols
+
 
+def cell_blocks(
+    cells: DataFrame, tolerance: int = 200, blocks: Sequence[str] = ("same_surface", *BLOCKS), counts: bool = False
+) -> DataFrame:
+    """Prior starts and successes by block; an unknown key or prior outcome gives NULL.
 
-def cell_blocks(cells: DataFrame, tolerance: int = 200, blocks: Sequence[str] = ("same_surface", *BLOCKS)) -> DataFrame:
-    """Prior starts and successes by block; an unknown key or prior outcome gives NULL."""
+    ``counts`` adds the columns of ``cell_counts`` to the same pass.
+    """
     dated = cells.withColumn("day", epoch_day(DAY)).withColumn("regime", distance_regime("distance_m"))
     out = dated.select(
         *CELL,
+        *(_count_columns() if counts else []),
         *[c for name in blocks if name != "near" for c in _block_columns(name, BLOCK_KEYS[name])],
     )
     if "near" in blocks:
@@ -183,11 +193,10 @@ def near_counts(dated: DataFrame, tolerance: int) -> DataFrame:
     daily = usable.groupBy(SUBJECT, "surface", "distance_m", DAY, "day").agg(
         *[F.sum(c).alias(c) for c in ("n", "s", "u")]
     )
-    asked = usable.select(
-        SUBJECT, "surface", F.col("distance_m").alias("at"), bucket.alias("bucket")
-    ).distinct()
-    spread = daily.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    near = spread.join(asked, [SUBJECT, "surface", "bucket"]).filter(
+    # Distances of a subject are far fewer than its starts, so they are the side that is tripled.
+    asked = usable.select(SUBJECT, "surface", F.col("distance_m").alias("at"), bucket.alias("_b")).distinct()
+    asked = asked.withColumn("bucket", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1))).drop("_b")
+    near = daily.withColumn("bucket", bucket).join(asked, [SUBJECT, "surface", "bucket"]).filter(
         F.abs(F.col("at") - F.col("distance_m")) <= tolerance
     )
     totals = near.groupBy(SUBJECT, "surface", F.col("at").alias("distance_m"), DAY, "day").agg(
@@ -311,10 +320,8 @@ def asof_context(history: DataFrame, targets: DataFrame, tolerance: int = 200) -
     out = _with_state(
         targets, states, *_state_counts(), *_state_deltas(), *_state_recent(), *_state_trends()
     )
-    cells = history_cells(history, targets)
-    counts, blocks = cell_counts(cells), cell_blocks(cells, tolerance)
-    out = _join_cells(_join_cells(out, counts), blocks)
-    return front_share(out)
+    cells = cell_blocks(history_cells(history, targets), tolerance, counts=True)
+    return front_share(_join_cells(out, cells))
 
 
 def strict_history_check(panel: DataFrame) -> DataFrame:

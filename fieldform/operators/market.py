@@ -1,16 +1,19 @@
 """Market prices to probabilities, and per-contest normalization.
 
-Contests are reduced to their distinct strengths before any pairwise arithmetic, and
-that arithmetic runs over bounded array chunks, so neither pairs of entries nor whole
-oversized contests are ever put into rows or into one task.
+Contests that fit an array are solved in one aggregation by contest, in Arrow batches.
+Larger ones are reduced to their distinct strengths and worked on in bounded chunks over
+all tasks.  Neither path puts pairs of entries into rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fieldform.functions.probability import clip, col, logit, sigmoid
+from fieldform.functions.probability import col, logit, sigmoid
 from fieldform.scale import ARRAY_ROWS, largest_group, materialize, with_group
 
 CONTEST = "contest_id"
@@ -53,58 +56,104 @@ def harville_top_k(df: DataFrame, strength: str, contest: str = CONTEST, k: int
     """
     if k not in (1, 2, 3):
         raise ValueError("k must be 1, 2 or 3")
-    hist = df.groupBy(contest, F.col(strength).alias("_x")).agg(F.count("*").alias("m"))
+    rows = df.select(contest, F.col(strength).cast("double").alias("_x"))
+    if largest_group(rows, [contest]) <= ARRAY_ROWS:
+        places = _places_by_array(rows, contest, k)
+    else:
+        sizes = rows.groupBy(contest).agg(F.count("*").alias("_n"))
+        small = rows.join(sizes.filter(F.col("_n") <= ARRAY_ROWS), contest, "left_semi")
+        big = rows.join(sizes.filter(F.col("_n") > ARRAY_ROWS), contest, "left_semi")
+        places = _places_by_array(small, contest, k).unionByName(_places_by_chunks(big, contest, k))
+    columns = [F.col(c) for c in ("p_first", "p_second", "p_third")[:k]]
+    found = places.select(F.col(contest).alias("_c"), "_x", *columns, sum(columns[1:], columns[0]).alias("p_top"))
+    on = (df[contest] == F.col("_c")) & (df[strength] == F.col("_x"))
+    return df.join(found, on, "left").drop("_c", "_x")
+
+
+def _unusable(x: Column) -> Column:
+    return F.count_if(x.isNull() | ~(x > 0)).alias("_bad")
+
+
+def _places_by_array(rows: DataFrame, contest: str, k: int) -> DataFrame:
+    """(contest, strength, places) of contests that fit an array: one shuffle by contest."""
+    arrays = rows.groupBy(contest).agg(F.collect_list("_x").alias("_xs"), _unusable(F.col("_x")))
+    arrays = arrays.filter((F.col("_bad") == 0) & (F.size("_xs") > k))
+    keys = F.array_sort(F.array_distinct("_xs"))
+    n = F.size("_keys")
+    solved = arrays.select(contest, keys.alias("_keys"), places_of_contest("_xs").alias("_p"))
+    cells = F.arrays_zip(
+        F.col("_keys").alias("_x"),
+        *[F.slice("_p", 1 + i * n, n).alias(c) for i, c in enumerate(("p_first", "p_second", "p_third"))],
+    )
+    return solved.select(contest, F.explode(cells).alias("_e")).select(contest, "_e.*")
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def places_of_contest(strengths: pd.Series) -> pd.Series:
+    """First, second and third place probabilities of the distinct strengths, ascending, end to end."""
+    out = []
+    for xs in strengths:
+        distinct, m = np.unique(xs, return_counts=True)
+        w = distinct / (distinct * m).sum()
+        a = w / (1 - w)
+        v = _pair_sums(w, w, m)
+        out.append(np.concatenate([w, w * ((m * a).sum() - a), w * ((m * v).sum() / 2 - v)]))
+    return pd.Series(out)
+
+
+def _pair_sums(own: np.ndarray, w: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """For each own strength, the sum over the others of w w' (1/(1-w) + 1/(1-w')) / (1-w-w').
+
+    Entries of equal strength share a value: one of them is the entry itself.
+    """
+    a, b = own[:, None], w[None, :]
+    others = m[None, :] - (a == b)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        term = a * b * (1 / (1 - a) + 1 / (1 - b)) / (1 - a - b)
+    return np.where(others > 0, others * term, 0.0).sum(axis=1)
+
+
+def _places_by_chunks(rows: DataFrame, contest: str, k: int) -> DataFrame:
+    """The same for contests of any size: distinct strengths in chunks, chunk against chunk.
+
+    Work per row of the self-join is a dense block of at most about CHUNK x CHUNK values, so
+    one huge contest is spread over all tasks.
+    """
+    hist = rows.groupBy(contest, "_x").agg(F.count("*").alias("m"))
     hist = with_group(
         hist,
         contest,
         F.sum(F.col("m") * F.col("_x")).alias("_mass"),
         F.sum("m").alias("_n"),
         F.count("*").alias("_distinct"),
-        F.count_if(F.col("_x").isNull() | (F.col("_x") <= 0)).alias("_bad"),
+        _unusable(F.col("_x")),
     ).filter((F.col("_bad") == 0) & (F.col("_n") > k))
-    hist = hist.withColumn("w", F.col("_x") / F.col("_mass"))
+    hist = materialize(hist.withColumn("w", F.col("_x") / F.col("_mass")), "strengths")
     chunks = hist.groupBy(
         contest, F.pmod(F.xxhash64("_x"), F.ceil(F.col("_distinct") / CHUNK)).alias("_chunk")
-    ).agg(
-        F.collect_list(F.struct("w", "m")).alias("_others"),
-        F.sum(F.col("m") * F.col("w") / (1 - F.col("w"))).alias("_a"),
+    ).agg(F.collect_list(F.struct("_x", "w", "m")).alias("_e"))
+    own = chunks.select(contest, F.col("_e").alias("_own"))
+    other = chunks.select(contest, F.col("_e.w").alias("_w"), F.col("_e.m").cast("array<double>").alias("_m"))
+    pairs = own.join(other, contest).select(
+        contest, F.arrays_zip(F.col("_own").alias("_own"), pair_totals(F.col("_own.w"), "_w", "_m").alias("_v")).alias("_c")
     )
-    pairs = hist.join(chunks, contest).withColumn("_v", _two_step_total() if k == 3 else F.lit(0.0))
-    parts = pairs.groupBy(contest, "_x").agg(
-        F.first("w").alias("w"),
-        F.first("m").alias("m"),
-        F.sum("_a").alias("_s"),
-        F.sum("_v").alias("_v"),
+    parts = (
+        pairs.select(contest, F.explode("_c").alias("_c"))
+        .select(contest, "_c._own.*", "_c._v")
+        .groupBy(contest, "_x")
+        .agg(F.first("w").alias("w"), F.first("m").alias("m"), F.sum("_v").alias("_v"))
     )
-    totals = F.sum(F.col("m") * F.col("_v") / 2).alias("_t")
-    w = F.col("w")
-    second = w * (F.col("_s") - w / (1 - w))
-    third = w * (F.col("_t") - F.col("_v"))
-    places = [w.alias("p_first")]
-    if k >= 2:
-        places.append(second.alias("p_second"))
-    if k >= 3:
-        places.append(third.alias("p_third"))
-    total = w + (second if k >= 2 else 0) + (third if k >= 3 else 0)
-    by_strength = with_group(parts, contest, totals).select(
-        F.col(contest).alias("_c"), "_x", *places, total.alias("p_top")
+    w, m = F.col("w"), F.col("m")
+    parts = with_group(parts, contest, F.sum(m * w / (1 - w)).alias("_s"), F.sum(m * F.col("_v") / 2).alias("_t"))
+    return parts.select(
+        contest, "_x", w.alias("p_first"), (w * (F.col("_s") - w / (1 - w))).alias("p_second"),
+        (w * (F.col("_t") - F.col("_v"))).alias("p_third"),
     )
-    on = (df[contest] == F.col("_c")) & (df[strength] == F.col("_x"))
-    return df.join(by_strength, on, "left").drop("_c", "_x")
 
 
-def _two_step_total() -> Column:
-    """Sum over the other entries of a chunk of w w' (1/(1-w) + 1/(1-w')) / (1-w-w')."""
-    w = F.col("w")
-
-    def add(total: Column, o: Column) -> Column:
-        q = o["w"]
-        # Entries of equal strength share a row: one of them is the entry itself.
-        others = F.when(q == w, o["m"] - 1).otherwise(o["m"])
-        term = w * q * (1 / (1 - w) + 1 / (1 - q)) / (1 - w - q)
-        return total + F.when(others > 0, others * term).otherwise(0.0)
-
-    return F.aggregate("_others", F.lit(0.0), add)
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def pair_totals(own: pd.Series, w: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([_pair_sums(a, b, c) for a, b, c in zip(own, w, m, strict=True)])
 
 
 def place_strength(
@@ -175,7 +224,7 @@ LOW, HIGH, STEPS, SECTIONS = -40.0, 40.0, 60, 32
 def logit_shift_to_sum(df: DataFrame, p: str, contest: str = CONTEST, slots: float = 3.0) -> DataFrame:
     """Shift the logits of each contest by one offset so that its probabilities sum to ``slots``.
 
-    Contests that fit an array are bisected inside one aggregate.  Larger ones are solved
+    Contests that fit an array are bisected after one aggregation.  Larger ones are solved
     exactly as well, by repeated sums over all tasks that narrow the bracket 32-fold.
     """
     rows = df.withColumn("_x", logit(p))
@@ -194,23 +243,23 @@ def _target(n: Column, slots: float) -> Column:
 
 
 def _bisect_arrays(rows: DataFrame, contest: str, slots: float) -> DataFrame:
-    xs, goal = F.col("_xs"), F.col("_goal")
-
-    def step(bracket: Column, _: Column) -> Column:
-        mid = (bracket["lo"] + bracket["hi"]) / 2
-        total = F.aggregate(xs, F.lit(0.0), lambda t, x: t + 1 / (1 + F.exp(-(x + mid))))
-        below = total < goal
-        return F.struct(
-            F.when(below, mid).otherwise(bracket["lo"]).alias("lo"),
-            F.when(below, bracket["hi"]).otherwise(mid).alias("hi"),
-        )
-
-    start = F.struct(F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi"))
     arrays = rows.groupBy(contest).agg(
         F.collect_list("_x").alias("_xs"), _target(F.count("*"), slots).alias("_goal")
     )
-    shift = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda b: (b["lo"] + b["hi"]) / 2)
-    return arrays.select(contest, shift.alias("shift"))
+    return arrays.select(contest, bisected_shift("_xs", "_goal").alias("shift"))
+
+
+@F.pandas_udf(T.DoubleType())
+def bisected_shift(xs: pd.Series, goal: pd.Series) -> pd.Series:
+    """Offset per array at which the logistic sum meets the goal; all arrays of a batch at once."""
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in xs])[:-1]]).astype(int)
+    flat, sizes = np.concatenate(list(xs)), np.array([len(x) for x in xs])
+    lo, hi = np.full(len(xs), LOW), np.full(len(xs), HIGH)
+    for _ in range(STEPS):
+        mid = (lo + hi) / 2
+        below = np.add.reduceat(1 / (1 + np.exp(-(flat + np.repeat(mid, sizes)))), starts) < goal.to_numpy()
+        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+    return pd.Series((lo + hi) / 2)
 
 
 def _narrow_sums(rows: DataFrame, contest: str, slots: float) -> DataFrame:
@@ -233,6 +282,3 @@ def _narrow_sums(rows: DataFrame, contest: str, slots: float) -> DataFrame:
         bracket = materialize(sums.select(contest, "_goal", lo.alias("lo"), (lo + width).alias("hi")), "bracket")
     return bracket.select(contest, ((F.col("lo") + F.col("hi")) / 2).alias("shift"))
 
-
-def clipped(p: str | Column) -> Column:
-    return clip(p, 1e-12)

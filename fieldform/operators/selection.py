@@ -152,28 +152,20 @@ def blend_losses(
 ) -> DataFrame:
     """Contest losses of every blend weight in one pass.
 
-    All weights are aggregated side by side and only the contest rows are unfolded, so the
-    entries are neither multiplied nor shuffled per weight.
+    Entries unfold by weight only in front of the map-side aggregation, so what is shuffled
+    is one row per contest and weight.
     """
     grid = sorted({round(w, 10) for w in weights})
     if not grid or grid[0] < 0 or grid[-1] > 1:
         raise ValueError("weights must lie in [0, 1]")
     if 0.0 not in grid:
         raise ValueError("the grid must hold the market-only weight 0")
-    aggs = []
-    for i, w in enumerate(grid):
-        p = convex_blend(market, model, w)
-        aggs += [F.avg(brier(p, y)).alias(f"_b{i}"), F.avg(log_loss(p, y)).alias(f"_l{i}")]
-    wide = df.groupBy(contest, F.col(block).alias("block")).agg(F.count("*").alias("rows"), *aggs)
-    items = [
-        F.struct(
-            F.lit(blend_name(w)).alias("candidate"), F.lit(w).alias("weight"),
-            F.col(f"_b{i}").alias("brier"), F.col(f"_l{i}").alias("log_loss"),
-        )
-        for i, w in enumerate(grid)
-    ]
-    return wide.select(contest, "block", "rows", F.explode(F.array(*items)).alias("_i")).select(
-        contest, "block", "rows", "_i.*"
+    item = F.explode(F.array(*[F.struct(F.lit(blend_name(w)).alias("candidate"), F.lit(w).alias("weight")) for w in grid]))
+    return (
+        df.select(contest, F.col(block).alias("block"), F.col(market).alias("_m"), F.col(model).alias("_n"), y, item.alias("_i"))
+        .select(contest, "block", "_i.*", y, convex_blend("_m", "_n", F.col("_i.weight")).alias("_p"))
+        .groupBy("candidate", "weight", contest, "block")
+        .agg(F.count("*").alias("rows"), F.avg(brier("_p", y)).alias("brier"), F.avg(log_loss("_p", y)).alias("log_loss"))
     )
 
 

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 # The largest group that a single task is asked to sort or to hold as an array.
 GROUP_ROWS = 1_000_000
-ARRAY_ROWS = 50_000
+ARRAY_ROWS = 4_096
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
