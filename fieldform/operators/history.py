@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from fieldform.contracts import forbid_columns, require_columns
 from fieldform.functions.contest import distance_regime, epoch_day, relative_time
-from fieldform.scale import with_group
+from fieldform.scale import materialize, with_group
 
 SUBJECT, DAY, CONTEST = "subject_id", "contest_date", "contest_id"
 CELL = (SUBJECT, DAY, "surface", "distance_m", "venue")
@@ -157,6 +157,8 @@ def cell_blocks(
 
     ``counts`` adds the columns of ``cell_counts`` to the same pass.
     """
+    if "near" in blocks:
+        cells = materialize(cells, "cells")  # read three times below
     dated = cells.withColumn("day", epoch_day(DAY)).withColumn("regime", distance_regime("distance_m"))
     out = dated.select(
         *CELL,
@@ -299,6 +301,11 @@ def front_share(entries: DataFrame, source: str = "recent4_early_pct", cut: floa
     return with_group(entries, CONTEST, share)
 
 
+def _with_cells_and_share(entries: DataFrame, cells: DataFrame) -> DataFrame:
+    """Join the cells after the field share, whose aggregation then does not need them."""
+    return _join_cells(front_share(entries), cells)
+
+
 def build_panel(entries: DataFrame) -> DataFrame:
     """Entry-level features from starters: counts, deltas, recent form and field context."""
     require_columns(entries, PANEL_REQUIRED)
@@ -306,8 +313,7 @@ def build_panel(entries: DataFrame) -> DataFrame:
     timed = winner_relative(entries)
     states = prior_states(timed)
     out = _with_state(timed, states, *_state_counts(), *_state_deltas(), *_state_recent(), *_state_trends())
-    out = _join_cells(out, cell_counts(history_cells(entries)))
-    return front_share(out)
+    return _with_cells_and_share(out, cell_counts(history_cells(entries)))
 
 
 def asof_context(history: DataFrame, targets: DataFrame, tolerance: int = 200) -> DataFrame:
@@ -321,7 +327,7 @@ def asof_context(history: DataFrame, targets: DataFrame, tolerance: int = 200) -
         targets, states, *_state_counts(), *_state_deltas(), *_state_recent(), *_state_trends()
     )
     cells = cell_blocks(history_cells(history, targets), tolerance, counts=True)
-    return front_share(_join_cells(out, cells))
+    return _with_cells_and_share(out, cells)
 
 
 def strict_history_check(panel: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from fieldform.scale import ARRAY_ROWS, largest_group, materialize, with_group
 
 CONTEST = "contest_id"
 CHUNK = 256
+BLOCK_CELLS = 2_000_000
 MIN_FIELD = 4
 
 
@@ -90,27 +91,51 @@ def _places_by_array(rows: DataFrame, contest: str, k: int) -> DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def places_of_contest(strengths: pd.Series) -> pd.Series:
-    """First, second and third place probabilities of the distinct strengths, ascending, end to end."""
-    out = []
-    for xs in strengths:
-        distinct, m = np.unique(xs, return_counts=True)
-        w = distinct / (distinct * m).sum()
-        a = w / (1 - w)
-        v = _pair_sums(w, w, m)
-        out.append(np.concatenate([w, w * ((m * a).sum() - a), w * ((m * v).sum() / 2 - v)]))
+    """First, second and third place probabilities of the distinct strengths, ascending, end to end.
+
+    A batch is solved by field size: contests with equally many distinct strengths form one
+    dense block, cut so that a block never holds more than BLOCK_CELLS pairs.
+    """
+    sizes = np.array([len(x) for x in strengths])
+    flat = np.concatenate(list(strengths))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((flat, owner))
+    flat, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])])
+    x, m = flat[first], np.diff(np.r_[first, len(flat)])
+    n = np.bincount(owner[first], minlength=len(sizes))
+    begin = np.r_[0, np.cumsum(n)[:-1]]
+    out: list = [None] * len(sizes)
+    for size in np.unique(n):
+        members = np.flatnonzero(n == size)
+        for part in np.array_split(members, -(-len(members) * size * size // BLOCK_CELLS)):
+            cells = begin[part][:, None] + np.arange(size)
+            solved = _places(x[cells], m[cells])
+            for i, row in zip(part, solved, strict=True):
+                out[i] = row
     return pd.Series(out)
 
 
+def _places(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Rows of contests with the same number of distinct strengths x and their counts m."""
+    w = x / (x * m).sum(axis=-1, keepdims=True)
+    a = w / (1 - w)
+    v = _pair_sums(w, w, m)
+    second = w * ((m * a).sum(axis=-1, keepdims=True) - a)
+    third = w * ((m * v).sum(axis=-1, keepdims=True) / 2 - v)
+    return np.concatenate([w, second, third], axis=-1)
+
+
 def _pair_sums(own: np.ndarray, w: np.ndarray, m: np.ndarray) -> np.ndarray:
     """For each own strength, the sum over the others of w w' (1/(1-w) + 1/(1-w')) / (1-w-w').
 
     Entries of equal strength share a value: one of them is the entry itself.
     """
-    a, b = own[:, None], w[None, :]
-    others = m[None, :] - (a == b)
+    a, b = own[..., :, None], w[..., None, :]
+    others = m[..., None, :] - (a == b)
     with np.errstate(divide="ignore", invalid="ignore"):
         term = a * b * (1 / (1 - a) + 1 / (1 - b)) / (1 - a - b)
-    return np.where(others > 0, others * term, 0.0).sum(axis=1)
+    return np.where(others > 0, others * term, 0.0).sum(axis=-1)
 
 
 def _places_by_chunks(rows: DataFrame, contest: str, k: int) -> DataFrame:
