@@ -22,7 +22,6 @@ def duck(sf):
     return con
 
 
-# Reads fixed calendar boundaries that the smallest tables do not reach in every split.
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_agrees(spark, sf, duck, name):
     got = entry.queries()[name](spark, sf).toPandas()
