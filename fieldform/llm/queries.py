@@ -9,6 +9,7 @@ from fieldform.llm.chat import BREAK, CLOSE, OPEN, format_chats, read_back, text
 from fieldform.llm.common import LOWER, UPPER, table
 from fieldform.llm.exact import exact_duplicates
 from fieldform.llm.mixing import mix_sources
+from fieldform.llm.packing import pack_documents
 from fieldform.llm.pivots import exact_top_k
 from fieldform.llm.urls import judge_urls, pattern_rule, site_rule
 from fieldform.llm.warc import read_warc, write_warc
@@ -108,6 +109,18 @@ FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest AND p.payload_bytes >=
 """
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the packing query; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def chat_digest(turns: DataFrame) -> DataFrame:
     """The digest columns of formatted ``turns(conv_id, turn, role, parts)``, all read back from the output."""
     back = read_back(format_chats(turns))
@@ -141,7 +154,7 @@ SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, CAST(length(loss) AS BIG
        CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
 """
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op5_pivot_top_k, op6_chunk_recipes, op7_url_rules, op8_seekable_warc, op10_chat_parts)}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op5_pivot_top_k, op6_chunk_recipes, op7_url_rules, op8_seekable_warc, op9_order_preserving_packing, op10_chat_parts)}
 
 ORACLES = {
     "op2_source_mix": MIX_SQL, "op5_pivot_top_k": TOP_K_SQL, "op6_chunk_recipes": EXACT_SQL, "op7_url_rules": URL_SQL,
