@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldform.llm.chat import BREAK, CLOSE, OPEN, format_chats, read_back, text_part
 from fieldform.llm.common import LOWER, UPPER, table
 from fieldform.llm.exact import exact_duplicates
+from fieldform.llm.jaccard import jaccard_components
 from fieldform.llm.mixing import mix_sources
 from fieldform.llm.packing import pack_documents
 from fieldform.llm.pivots import exact_top_k
@@ -24,8 +25,6 @@ RULES = (
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fieldform.llm.jaccard import jaccard_components
-
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
@@ -154,7 +153,7 @@ SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, CAST(length(loss) AS BIG
        CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
 """
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op5_pivot_top_k, op6_chunk_recipes, op7_url_rules, op8_seekable_warc, op9_order_preserving_packing, op10_chat_parts)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_source_mix, op5_pivot_top_k, op6_chunk_recipes, op7_url_rules, op8_seekable_warc, op9_order_preserving_packing, op10_chat_parts)}
 
 ORACLES = {
     "op2_source_mix": MIX_SQL, "op5_pivot_top_k": TOP_K_SQL, "op6_chunk_recipes": EXACT_SQL, "op7_url_rules": URL_SQL,
