@@ -12,6 +12,8 @@ from fieldform.llm.jaccard import jaccard_components
 from fieldform.llm.mixing import mix_sources
 from fieldform.llm.packing import pack_documents
 from fieldform.llm.pivots import exact_top_k
+from fieldform.llm.suffixes import repeated_passages
+from fieldform.llm.toxicity import severity
 from fieldform.llm.urls import judge_urls, pattern_rule, site_rule
 from fieldform.llm.warc import read_warc, write_warc
 
@@ -52,6 +54,21 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN x ON d.doc_id
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document; ``toxic`` says that some grade above none is as likely as not."""
+    return toxic_documents(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, severity, grade, toxic`` of ``docs``, by a model fitted on those that ``labels`` names."""
+    graded = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade"))
+    return severity(docs, graded, spread=True).select("doc_id", "severity", "grade", (F.col("grade") > 0).alias("toxic"))
+
+
 def op5_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -153,7 +170,13 @@ SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, CAST(length(loss) AS BIG
        CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
 """
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_source_mix, op5_pivot_top_k, op6_chunk_recipes, op7_url_rules, op8_seekable_warc, op9_order_preserving_packing, op10_chat_parts)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_source_mix, op3_suffix_dedup, op4_ordinal_toxicity, op5_pivot_top_k, op6_chunk_recipes, op7_url_rules, op8_seekable_warc, op9_order_preserving_packing, op10_chat_parts, pipeline)}
 
 ORACLES = {
     "op2_source_mix": MIX_SQL, "op5_pivot_top_k": TOP_K_SQL, "op6_chunk_recipes": EXACT_SQL, "op7_url_rules": URL_SQL,
