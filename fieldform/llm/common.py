@@ -40,7 +40,7 @@ def running_total(df: DataFrame, by: str | Sequence[str], order: Sequence[Column
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``(node, component)`` of the graph of ``links(a, b)``: the smallest node reachable.
+    """``(node, component)`` of the graph of ``links(a, b)``: the smallest node reachable, for each node but that one.
 
     Alternating large-star and small-star steps; each is a combined minimum and a join whose
     heavy side can be split, and the links are written after each round.

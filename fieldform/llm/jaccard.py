@@ -1,13 +1,15 @@
 """Exact Jaccard join of documents on word shingles, with set relations used to skip work.
 
-1. A set can only link if at least the threshold's share of its shingles occurs elsewhere.
-   Every set counts its shared shingles (``shared``); the others are settled at once.
+1. A set can only link if at least the threshold's share of its shingles occurs elsewhere, so at most
+   the rest of any part of it does not.  The half of all shingles with the smaller hashes is looked up
+   (``shared``); sets that lack more of theirs than any link allows are settled at once.
 2. Equal sets become one representative.  Sets that agree in a min-hash compare with the most central
    of them (whose shingles are the most common), one comparison each; a set that links to it
    joins its cluster and takes over its answers, so a cluster never compares within itself.
-3. The rest is a prefix index, rarest shingles first.  Its lists are blocks of equal cluster, set
-   size and position; a pair of blocks is skipped as a whole by size and position.  What is left
-   names pairs of clusters, and only their centres are compared.
+3. The rest is a prefix index, rarest shingles first by exact counts, without those of one set.  Its
+   lists are blocks of equal cluster, set size, shared size and position; blocks of one component, and
+   those whose sizes and positions leave too little in common, are skipped as a whole.  What is left names
+   pairs of clusters, and only their centres are compared.
 4. From the centres' distance and the radii the triangle inequality answers for all members, or
    leaves those that a member pair could still link, which are compared exactly.
 
@@ -28,18 +30,19 @@ from pyspark.sql import functions as F
 
 from fieldform.llm.bytesets import mix, shingle_sets
 from fieldform.llm.common import components
-from fieldform.llm.shared import CHUNK, SENT, chunk_ids, planes, ranges_and_bits, send, shared_owners
+from fieldform.llm.shared import CHUNK, COUNT_SENT, SENT, chunk_ids, counted_tokens, ranges_and_bits, send, send_counts, shared_owners
 from fieldform.scale import materialize
 
 WIDTH, PERCENT = 5, 75
-#: Buckets of the count sketch that orders shingles by frequency: 1 MB whatever the corpus.
-SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
+#: Bits of the map of wanted documents, in blocks: 4 MB whatever the corpus.
+MAP_BITS, MAP_BLOCK = 25, 19
 LEADER_KEYS = 4
 NO_ID = -(1 << 63)
 EPS = 1e-9
 
-PROFILE = "doc_id long, n_shingles long, shared long, low long, high long"
-SETS = "doc_id long, n int, tokens binary"
+PROFILE = "doc_id long, n_shingles long, probed long, shared long, low long, high long"
+#: Tokens are in the order of the index: those of this set alone (``alone`` of them), then the rarest first.
+SETS = "doc_id long, n int, alone int, central double, tokens binary"
 
 
 def _needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -53,8 +56,11 @@ def _send_sets(ranges: int, bits: int, width: int):
 
         def flush():
             tokens, n = np.concatenate(held), np.concatenate(sizes)
-            about = np.stack([np.concatenate(ids), n, *np.concatenate(marks, axis=1)]).astype(np.int64).tobytes()
-            return send(next(names), tokens, np.repeat(np.arange(len(n), dtype=np.uint32), n), about, ranges, bits)
+            owner, probe = np.repeat(np.arange(len(n), dtype=np.uint32), n), tokens >> np.uint64(63) == 0
+            tokens, owner = tokens[probe], owner[probe]
+            about = np.stack([np.concatenate(ids), n, np.bincount(owner, minlength=len(n)), *np.concatenate(marks, axis=1)])
+            # All probed hashes have a leading zero, which the ranges need not see.
+            return send(next(names), tokens << np.uint64(1), owner, about.astype(np.int64).tobytes(), ranges, bits)
 
         for batch in batches:
             keys = batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy()
@@ -80,100 +86,130 @@ def _send_sets(ranges: int, bits: int, width: int):
 
 
 def _profile(about: bytes, owners: np.ndarray) -> pa.Table:
-    ids, n, low, high = np.frombuffer(about, np.int64).reshape(4, -1)
+    ids, n, probed, low, high = np.frombuffer(about, np.int64).reshape(5, -1)
     shared = np.bincount(owners, minlength=len(ids))
-    return pa.table({"doc_id": ids, "n_shingles": n, "shared": shared.astype(np.int64), "low": low, "high": high})
+    return pa.table({"doc_id": ids, "n_shingles": n, "probed": probed, "shared": shared.astype(np.int64), "low": low, "high": high})
 
 
-def _make_sets(width: int):
-    def run(batches):
-        for batch in batches:
-            for first, last, tokens, n in shingle_sets(batch.column(1), width):
-                edges = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)]).tolist()
-                raw = memoryview(tokens.tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, last - first), pa.array(n, pa.int32()),
-                        pa.array([bytes(raw[8 * a : 8 * b]) for a, b in zip(edges, edges[1:], strict=False)], pa.binary()),
-                    ],
-                    names=["doc_id", "n", "tokens"],
-                )
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
-    return run
 
+def _bits(batches):
+    for batch in batches:
+        bit = _bit(batch.column(0).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(bit >> MAP_BLOCK, pa.int32()), pa.array(bit & ((1 << MAP_BLOCK) - 1), pa.int32())], names=["block", "bit"])
 
-def _tokens(column) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), np.uint64) for x in column]
 
+def _block(group: pa.Table) -> pa.Table:
+    flags = np.zeros(1 << MAP_BLOCK, bool)
+    flags[group.column("bit").to_numpy()] = True
+    return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
-def _sketch(batches):
-    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for batch in batches:
-        for tokens in _tokens(batch.column(0)):
-            counts += np.bincount((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32) if len(tokens) > 4096 else 0
-            if len(tokens) <= 4096:
-                np.add.at(counts, (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
-    blocks = counts.reshape(-1, SKETCH_BLOCK)
-    used = np.flatnonzero(blocks.any(axis=1))
-    if len(used):
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([planes(blocks[k]) for k in used], pa.binary())], names=["block", "counts"])
 
+def document_map(ids: DataFrame) -> np.ndarray:
+    """A bit map of hashed ids, of a fixed size.  It may let others through, whose sets then are looked at in vain."""
+    bits = ids.mapInArrow(_bits, "block int, bit int").distinct()
+    out = np.zeros((1 << (MAP_BITS - MAP_BLOCK), 1 << (MAP_BLOCK - 3)), np.uint8)
+    for row in bits.groupBy("block").applyInArrow(_block, "block int, flags binary").collect():
+        out[row["block"]] = np.frombuffer(row["flags"], np.uint8)
+    return np.unpackbits(out.ravel()).view(bool)
 
-def _sum_block(group: pa.Table) -> pa.Table:
-    from fieldform.llm.shared import unplanes
 
-    total = sum(unplanes(x.as_py(), np.uint32).astype(np.int64) for x in group.column("counts"))
-    level = np.log2(total + 1.0).astype(np.uint8)
-    return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "level": pa.array([level.tobytes()], pa.binary())})
+def _send_counts(wanted, ranges: int, bits: int, width: int):
+    def run(batches):
+        here, names, ids, held, sizes, count = wanted.value, chunk_ids(), [], [], [], 0
 
+        def flush():
+            n = np.concatenate(sizes)
+            about = np.concatenate([np.array([len(n)]), np.concatenate(ids), n]).astype(np.int64).tobytes()
+            tokens = np.concatenate(held)
+            return send_counts(next(names), tokens, about + tokens.tobytes(), ranges, bits)
 
-def frequency_levels(sets: DataFrame) -> np.ndarray:
-    """For each sketch bucket the binary logarithm of its shingle count over all sets: a fixed megabyte."""
-    counted = sets.select("tokens").mapInArrow(_sketch, "block int, counts binary")
-    out = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.uint8).reshape(-1, SKETCH_BLOCK)
-    for row in counted.groupBy("block").applyInArrow(_sum_block, "block int, level binary").collect():
-        out[row["block"]] = np.frombuffer(row["level"], np.uint8)
-    return out.ravel()
+        for batch in batches:
+            keys = batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy()
+            rows = np.flatnonzero(here[_bit(keys)] & (keys != NO_ID))
+            if len(rows) == 0:
+                continue
+            batch, keys = batch.take(pa.array(rows)), keys[rows]
+            for first, last, tokens, n in shingle_sets(batch.column(1), width):
+                full = n > 0
+                ids.append(keys[first:last][full])
+                sizes.append(n[full])
+                held.append(tokens)
+                count += len(tokens)
+                if count >= CHUNK:
+                    yield flush()
+                    ids, held, sizes, count = [], [], [], 0
+        if count:
+            yield flush()
+
+    return run
+
+
+def _order_sets(about: bytes, owners: np.ndarray, levels: np.ndarray) -> pa.Table:
+    """The sets of a chunk with their tokens from rare to common."""
+    count = int(np.frombuffer(about[:8], np.int64)[0])
+    ids, n = np.frombuffer(about[8 : 8 + 16 * count], np.int64).reshape(2, -1)
+    tokens = np.frombuffer(about[8 + 16 * count :], np.uint64)
+    # A level is that of a token; all places of the token in the chunk have it.
+    _, first, back = np.unique(tokens, return_index=True, return_inverse=True)
+    at_first = np.zeros(len(tokens), np.uint8)
+    at_first[owners] = levels
+    level = at_first[first][back]
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((tokens, level, row))
+    edges = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)]).tolist()
+    raw = memoryview(tokens[order].tobytes())
+    lists = [bytes(raw[8 * a : 8 * b]) for a, b in zip(edges, edges[1:], strict=False)]
+    alone = np.bincount(row[level == 0], minlength=len(n))
+    central = np.bincount(row, level, minlength=len(n)) / n
+    return pa.table({
+        "doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int32()), "alone": pa.array(alone, pa.int32()),
+        "central": pa.array(central, pa.float64()), "tokens": pa.array(lists, pa.binary()),
+    })
+
+
+def _tokens(column) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), np.uint64) for x in column]
 
 
-def _leader_keys(levels):
+def _leader_keys(batches):
+    """Min-hashes of each set, of its shingles that other sets have as well."""
     salts = mix(np.arange(1, LEADER_KEYS + 1, dtype=np.uint64))
+    for batch in batches:
+        out = [[], [], [], []]
+        for doc_id, alone, central, tokens in zip(*(batch.column(k).to_pylist() for k in range(3)), _tokens(batch.column(3)), strict=True):
+            if alone == len(tokens):
+                continue
+            for k, salt in enumerate(salts):
+                for column, value in zip(out, (doc_id, k, int(mix(tokens[alone:] ^ salt).min().view(np.int64)), central), strict=True):
+                    column.append(value)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "place", "key", "central"])
 
-    def run(batches):
-        level = levels.value
-        for batch in batches:
-            ids, keys, places, central = [], [], [], []
-            for doc_id, tokens in zip(batch.column(0).to_pylist(), _tokens(batch.column(1)), strict=True):
-                mean = float(level[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].mean())
-                for k, salt in enumerate(salts):
-                    ids.append(doc_id)
-                    places.append(k)
-                    keys.append(int(mix(tokens ^ salt).min().view(np.int64)))
-                    central.append(mean)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(keys, pa.int64()), pa.array(central, pa.float64())],
-                names=["doc_id", "place", "key", "central"],
-            )
 
-    return run
+ENTRIES = "token long, doc_id long, n int, common int, place int, lead long, part long, far double"
+
 
+def _entries(percent: int):
+    """Index entries of the prefix of each set, without the shingles of this set alone."""
 
-def _entries(levels, percent: int):
     def run(batches):
-        level = levels.value
         for batch in batches:
-            leads, fars = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            out = [[], [], [], [], [], []]
-            for doc_id, lead, far, tokens in zip(batch.column(0).to_pylist(), leads, fars, _tokens(batch.column(1)), strict=True):
+            out = [[], [], [], [], [], [], [], []]
+            ids, alones, leads, parts, fars = (batch.column(k).to_pylist() for k in range(5))
+            for doc_id, alone, lead, part, far, tokens in zip(ids, alones, leads, parts, fars, _tokens(batch.column(5)), strict=True):
                 n = len(tokens)
-                size = n - int(_needed(np.int64(n), percent)) + 1
-                order = np.lexsort((tokens, level[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:size]
-                for column, value in zip(out, (tokens[order].view(np.int64), doc_id, n, np.arange(size), lead, far), strict=True):
-                    column.append(value if isinstance(value, np.ndarray) else np.full(size, value))
+                place = np.arange(n - int(_needed(np.int64(n), percent)) + 1 - alone)
+                if len(place):
+                    own = (tokens[alone : alone + len(place)].view(np.int64), doc_id, n, n - alone, place, lead, part, far)
+                    for column, value in zip(out, own, strict=True):
+                        column.append(value if isinstance(value, np.ndarray) else np.full(len(place), value))
             if out[0]:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64())
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
                 arrays = [pa.array(np.concatenate(c)).cast(k) for c, k in zip(out, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["token", "doc_id", "n", "place", "lead", "far"])
+                yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in ENTRIES.split(", ")])
 
     return run
 
@@ -202,10 +238,10 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _overlap_possible(percent: int):
-    """Size and position bounds of two blocks that share a shingle."""
+    """Bounds on what two blocks that share a shingle can have in common, by size and position among the common shingles."""
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     ahead = F.least("a.place", "b.place")
-    behind = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    behind = F.least(F.col("a.common") - F.col("a.place"), F.col("b.common") - F.col("b.place"))
     return (small * 100 >= large * percent) & ((ahead + behind) * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
 
 
@@ -217,40 +253,45 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, width: int =
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ranges, bits = ranges_and_bits(slim, "text", 0.2)
+    ranges, bits = ranges_and_bits(slim, "text", 0.1)
     profile = materialize(shared_owners(slim.mapInArrow(_send_sets(ranges, bits, width), SENT), _profile, PROFILE), "profile")
 
-    # Equal sets are one: the smallest id stands for them.
+    # Of the probed shingles of a linked set, at most the rest of the set is found nowhere else.
     n = F.col("n_shingles")
-    alive = profile.where((n > 0) & (F.col("shared") * 100 >= n * percent) & (F.col("doc_id") != NO_ID))
+    alive = profile.where((n > 0) & ((F.col("probed") - F.col("shared")) * 100 <= n * (100 - percent)) & (F.col("doc_id") != NO_ID))
+    # Equal sets are one: the smallest id stands for them.
     equal = ["low", "high", "n_shingles"]
-    heads = alive.groupBy(*equal).agg(F.min("doc_id").alias("head"))
+    heads = materialize(alive.groupBy(*equal).agg(F.min("doc_id").alias("head")), "heads")
+    wanted = spark.sparkContext.broadcast(document_map(heads.select("head")))
     heads = materialize(alive.join(heads, equal).select("doc_id", "head").distinct(), "heads")
-    ours = heads.select(F.col("head").alias("doc_id")).distinct()
-    sets = materialize(slim.join(ours, "doc_id", "left_semi").mapInArrow(_make_sets(width), SETS).where("n > 0"), "sets")
+    sent = slim.mapInArrow(_send_counts(wanted, ranges, bits, width), COUNT_SENT)
+    sets = materialize(counted_tokens(sent, _order_sets, SETS), "sets")
 
     # Clusters: one comparison per set and min-hash, with the most central set that shares it.
-    levels = spark.sparkContext.broadcast(frequency_levels(sets))
-    keys = materialize(sets.select("doc_id", "tokens").mapInArrow(_leader_keys(levels), "doc_id long, place int, key long, central double"), "keys")
+    keys = sets.select("doc_id", "alone", "central", "tokens").mapInArrow(_leader_keys, "doc_id long, place int, key long, central double")
+    keys = materialize(keys, "keys")
     central = F.struct((-F.col("central")).alias("rank"), F.col("doc_id"))
-    centres = keys.groupBy("place", "key").agg(F.min(central).alias("centre"), F.count("*").alias("held")).where("held > 1")
+    centres = materialize(keys.groupBy("place", "key").agg(F.min(central).alias("centre"), F.count("*").alias("held")).where("held > 1"), "centres")
     stars = keys.join(centres, ["place", "key"]).where("doc_id <> centre.doc_id").select(F.col("doc_id").alias("a"), F.col("centre.doc_id").alias("b")).distinct()
     stars = materialize(compare(stars, sets, percent).where("linked").select("a", "b", "far"), "stars")
+    found = components(stars)
     leads = stars.select(F.col("b").alias("a")).distinct()
     joined = stars.join(leads, "a", "left_anti").groupBy("a").agg(F.min(F.struct("far", "b")).alias("best"))
     joined = joined.select(F.col("a").alias("doc_id"), F.col("best.b").alias("lead"), F.col("best.far").alias("far"))
-    placed = sets.join(joined, "doc_id", "left").select(
-        "doc_id", "tokens", F.coalesce("lead", "doc_id").alias("lead"), F.coalesce("far", F.lit(0.0)).alias("far")
+    parts = found.select(F.col("node").alias("doc_id"), F.col("component").alias("part"))
+    placed = sets.join(joined, "doc_id", "left").join(parts, "doc_id", "left").select(
+        "doc_id", "alone", F.coalesce("lead", "doc_id").alias("lead"), F.coalesce("part", "doc_id").alias("part"),
+        F.coalesce("far", F.lit(0.0)).alias("far"), "tokens",
     )
-    schema = "token long, doc_id long, n int, place int, lead long, far double"
-    index = materialize(placed.mapInArrow(_entries(levels, percent), schema), "index")
+    index = materialize(placed.mapInArrow(_entries(percent), ENTRIES), "index")
 
-    # Lists of more than one cluster, in blocks; blocks are skipped by size and position.
-    blocks = index.groupBy("token", "lead", "n", "place").agg(F.max("far").alias("far"))
-    several = index.groupBy("token").agg(F.min("lead").alias("least"), F.max("lead").alias("most")).where("least < most").select("token")
-    blocks = materialize(blocks.join(several, "token", "left_semi"), "blocks")
+    # Lists of more than one component, in blocks; blocks are skipped by size and position.
+    several = index.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("token")
+    index = materialize(index.join(materialize(several, "tokens"), "token", "left_semi"), "index")
+    blocks = materialize(index.groupBy("token", "lead", "part", "n", "common", "place").agg(F.max("far").alias("far")), "blocks")
     a, b = blocks.alias("a"), blocks.alias("b")
-    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.lead") < F.col("b.lead")) & _overlap_possible(percent)
+    apart = (F.col("a.lead") < F.col("b.lead")) & (F.col("a.part") != F.col("b.part"))
+    meet = (F.col("a.token") == F.col("b.token")) & apart & _overlap_possible(percent)
     rivals = a.join(b, meet).groupBy(F.col("a.lead").alias("a"), F.col("b.lead").alias("b")).agg(F.max(F.col("a.far") + F.col("b.far")).alias("reach"))
     rivals = materialize(rivals, "rivals")
     measured = compare(rivals, sets, percent).select("a", "b", "linked", "far").join(rivals, ["a", "b"])
