@@ -31,12 +31,12 @@ def _(spark, sf):
     return history.prev_deltas(starters(spark, sf))
 
 
-@check("recent_form", KEYS + RECENT, "SELECT * FROM panel")
+@check("recent_form", KEYS + RECENT, "SELECT * FROM starters JOIN rep_recent USING (subject_id, contest_date)")
 def _(spark, sf):
     return history.recent_form(starters(spark, sf))
 
 
-@check("recent_trend", KEYS + TREND, "SELECT * FROM panel")
+@check("recent_trend", KEYS + TREND, "SELECT * FROM starters JOIN rep_trend USING (subject_id, contest_date)")
 def _(spark, sf):
     return history.recent_trend(starters(spark, sf))
 
@@ -81,7 +81,6 @@ ASOF_TARGET = "2000-01-01"
     "same_surface_starts:i near_starts:i near_top3:i",
     """
 WITH h AS (SELECT * FROM timed WHERE contest_date < DATE '2000-01-01'),
-hr AS (SELECT * FROM reps WHERE contest_date < DATE '2000-01-01'),
 t AS (SELECT * FROM starters WHERE contest_date >= DATE '2000-01-01'),
 n AS (SELECT t.contest_id, t.subject_id, count(h.label) AS career_starts, coalesce(sum(h.label), 0) AS career_top3,
   count(CASE WHEN h.surface = 'turf' THEN 1 END) AS turf_starts,
@@ -94,7 +93,7 @@ n AS (SELECT t.contest_id, t.subject_id, count(h.label) AS career_starts, coales
   count(CASE WHEN h.surface = t.surface AND abs(h.distance_m - t.distance_m) <= 200 THEN 1 END) AS near_starts,
   coalesce(sum(CASE WHEN h.surface = t.surface AND abs(h.distance_m - t.distance_m) <= 200 THEN h.label END), 0) AS near_top3
   FROM t LEFT JOIN h ON h.subject_id = t.subject_id GROUP BY 1, 2),
-k AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY contest_date DESC) AS rn FROM hr),
+k AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY contest_date DESC, contest_id DESC) AS rn FROM h),
 l AS (SELECT subject_id, max(CASE WHEN rn = 1 THEN contest_date END) AS prev_date,
   max(CASE WHEN rn = 1 THEN distance_m END) AS pd, max(CASE WHEN rn = 1 THEN weight END) AS pw,
   max(CASE WHEN rn = 1 THEN finish_pct END) AS last_finish_pct,
@@ -115,7 +114,7 @@ def _(spark, sf):
     roster = rows.filter(F.col("contest_date") >= ASOF_TARGET).drop(
         "finish_position", "time_s", "early_position", "label", "finish_pct", "early_pct"
     )
-    last = history.last_k_per_subject(history.one_start_per_day(past), 1)
+    last = history.last_k_per_subject(past, 1)
     out = history.asof_context(past, roster)
     return out.join(last.select("subject_id", F.col("finish_pct").alias("last_finish_pct")), "subject_id", "left")
 
@@ -158,23 +157,28 @@ def _(spark, sf):
     return history.asof_slice(starters(spark, sf), "2001-03-01", 7, "2001-02-28")[1]
 
 
-PROBED = ("career_top3", "same_distance_top3", "recent3_finish_pct", "recent3_rel_time", "recent4_early_pct", "front_share")
+PROBED = tuple(c.split(":")[0] for c in (COUNTS + DELTAS + RECENT + TREND + "front_share:f").split())
 
 
 @check(
     "leakage_probe",
     "predictor:s rows:i changed:i",
-    "SELECT unnest(['career_top3', 'same_distance_top3', 'recent3_finish_pct', 'recent3_rel_time', "
-    "'recent4_early_pct', 'front_share']) AS predictor, (SELECT count(*) FROM starters WHERE contest_date = "
+    f"SELECT unnest({list(PROBED)}) AS predictor, (SELECT count(*) FROM starters WHERE contest_date = "
     "(SELECT max(contest_date) FROM starters)) AS rows, 0 AS changed",
 )
 def _(spark, sf):
     rows = starters(spark, sf)
     last = rows.agg(F.max("contest_date")).scalar()
+    # Every outcome of the target rows changes, also those derived from others.
+    place = F.col("field_size") - F.coalesce("finish_position", F.lit(0)) + 1
     outcomes = {
-        "finish_position": (F.col("field_size") - F.col("finish_position") + 1),
-        "label": F.lit(0),
-        "time_s": F.lit(None).cast("double"),
-        "early_pct": F.lit(0.5),
+        "finish_position": place.cast("int"),
+        "label": 1 - F.col("label"),
+        "time_s": F.coalesce("time_s", F.lit(60.0)) + F.col("entry_no"),
+        "early_position": (F.col("field_size") - F.coalesce("early_position", F.lit(0)) + 1).cast("int"),
+        "early_pct": 1 - F.coalesce("early_pct", F.lit(0.25)),
+        "finish_pct": (place - 1) / F.col("field_size"),
+        "is_open_plus": 1 - F.col("is_open_plus"),
+        "is_graded": 1 - F.col("is_graded"),
     }
     return history.leakage_probe(rows, history.build_panel, F.col("contest_date") == last, PROBED, outcomes)

@@ -303,4 +303,4 @@ FROM d WINDOW c AS (PARTITION BY contest_id)) WHERE field_size >= 8 AND career_s
 def _(spark, sf):
     context = blocks_panel(spark, sf)
     chosen = cohorts.select_cohort(context, "dirt")
-    return relative.block_features(chosen, context, training_prior(context), surface="dirt")
+    return relative.block_features(chosen, context.filter("surface = 'dirt'"), training_prior(context), surface="dirt")

@@ -71,7 +71,7 @@ def _(spark, sf):
 
 @check("fit_gradient_boosting_relative", KEYS + "p:f")
 def _(spark, sf):
-    return trees(spark, sf, "gradient_boosting", "GB01", rounds=5, extras=("relative", "trend", "interaction"))
+    return trees(spark, sf, "xgboost", "XGB01", rounds=5, extras=("relative", "trend", "interaction"))
 
 
 @check("fit_linear_blocks", KEYS + "p:f")

@@ -8,7 +8,7 @@ from checks.spec import check
 from fieldform import contracts
 from fieldform.functions import contest as fc
 from fieldform.functions.probability import field_size_baseline
-from fieldform.operators import cohorts, history, joins, locks, metrics, quality, ranking, relative
+from fieldform.operators import cohorts, history, joins, locks, metrics, quality, ranking, relative, selection
 from fieldform.plans.panels import panel
 from fieldform.plans.predictions import SPLITS, predictions
 from fieldform.sources.fingerprint import row_fingerprint
@@ -169,7 +169,8 @@ def _(spark, sf):
 @check(
     "full_context",
     KEYS + "field_size:i",
-    "SELECT * FROM panel WHERE contest_id IN (SELECT contest_id FROM cohort WHERE distance_m = 1200)",
+    "SELECT * FROM starters WHERE contest_id IN (SELECT s.contest_id FROM starters s JOIN counted c ON c.contest_id = s.contest_id "
+    "AND c.subject_id = s.subject_id WHERE surface = 'turf' AND field_size >= 8 AND career_starts >= 3 AND distance_m = 1200)",
 )
 def _(spark, sf):
     rows = panel(spark, sf)
@@ -265,12 +266,13 @@ def _(spark, sf):
     "table_diff",
     "column_name:s rows:i null_mismatches:i max_abs_error:f value_mismatches:i verdict:s",
     """
-WITH a AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 50 <> 0),
+WITH a AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority, o_orderdate FROM orders WHERE o_orderkey % 50 <> 0),
 b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS o_custkey,
   o_totalprice + CASE WHEN o_orderkey % 11 = 0 THEN 0.25 ELSE 0 END AS o_totalprice,
-  CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 60 <> 0),
+  CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority,
+  CASE WHEN o_orderkey % 17 = 0 THEN o_orderdate + INTERVAL 90 SECOND ELSE o_orderdate END AS o_orderdate FROM orders WHERE o_orderkey % 60 <> 0),
 j AS (SELECT a.o_orderkey AS ak, b.o_orderkey AS bk, a.o_custkey AS c1, b.o_custkey AS c2, a.o_totalprice AS t1, b.o_totalprice AS t2,
-  a.o_orderstatus AS s1, b.o_orderstatus AS s2, a.o_orderpriority AS p1, b.o_orderpriority AS p2 FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey),
+  a.o_orderstatus AS s1, b.o_orderstatus AS s2, a.o_orderpriority AS p1, b.o_orderpriority AS p2, a.o_orderdate AS d1, b.o_orderdate AS d2 FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey),
 m AS (SELECT * FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL),
 n AS (SELECT count(*) AS n FROM m)
 ----
@@ -279,19 +281,24 @@ SELECT '<keys>' AS column_name, n.n AS rows, (SELECT count(*) FROM j WHERE ak IS
 UNION ALL SELECT 'o_custkey', n.n, (SELECT count(*) FROM m WHERE (c1 IS NULL) <> (c2 IS NULL)), (SELECT max(abs(c1 - c2)) FROM m), 0, 'different' FROM n
 UNION ALL SELECT 'o_totalprice', n.n, 0, (SELECT max(abs(t1 - t2)) FROM m), (SELECT count(*) FROM m WHERE abs(t1 - t2) > 1e-10), 'allowed' FROM n
 UNION ALL SELECT 'o_orderstatus', n.n, 0, NULL, (SELECT count(*) FROM m WHERE s1 <> s2), 'different' FROM n
-UNION ALL SELECT 'o_orderpriority', n.n, 0, NULL, (SELECT count(*) FROM m WHERE p1 <> p2), 'equal' FROM n""",
+UNION ALL SELECT 'o_orderpriority', n.n, 0, NULL, (SELECT count(*) FROM m WHERE p1 <> p2), 'equal' FROM n
+UNION ALL SELECT 'o_orderdate', n.n, 0, (SELECT CAST(max(epoch(d2) - epoch(d1)) AS DOUBLE) FROM m), (SELECT count(*) FROM m WHERE d1 <> d2), 'different' FROM n
+UNION ALL SELECT unnest(['gone', 'a', 'b']), n.n, n.n, NULL, 0, 'different' FROM n""",
 )
 def _(spark, sf):
-    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority", "o_orderdate")
     k = F.col("o_orderkey")
     changed = rows.filter(k % 60 != 0).withColumns(
         {
             "o_custkey": F.when(k % 7 != 0, F.col("o_custkey")),
             "o_totalprice": F.col("o_totalprice") + F.when(k % 11 == 0, 0.25).otherwise(0),
             "o_orderstatus": F.when(k % 13 == 0, "X").otherwise(F.col("o_orderstatus")),
+            "o_orderdate": F.col("o_orderdate") + F.when(k % 17 == 0, F.expr("INTERVAL 90 SECOND")).otherwise(F.expr("INTERVAL 0 SECOND")),
         }
     )
-    return joins.table_diff(rows.filter(k % 50 != 0), changed, "o_orderkey", allowed=["o_totalprice"])
+    # Columns that one side lacks, with names that a join could trip over.
+    ours = rows.filter(k % 50 != 0).withColumns({"gone": F.lit(1), "a": F.lit(None).cast("int")})
+    return joins.table_diff(ours, changed.withColumn("b", F.lit("x")), "o_orderkey", allowed=["o_totalprice"])
 
 
 @check(
@@ -662,6 +669,50 @@ def _(spark, sf):
     return quality.first_qualifying_window(entries(spark, sf), 1000, 60, 90)
 
 
+def review_sql(contests: int, dates: int, days: int) -> str:
+    return f"""
+WITH rd AS (SELECT contest_date, count(DISTINCT contest_id) AS n FROM wide GROUP BY 1),
+rr AS (SELECT contest_date, sum(n) OVER (ORDER BY contest_date) AS contests, row_number() OVER (ORDER BY contest_date) AS dates,
+  date_diff('day', min(contest_date) OVER (), contest_date) AS elapsed_days FROM rd),
+rw AS (SELECT * FROM rr WHERE contests >= {contests} AND dates >= {dates} AND elapsed_days >= {days} ORDER BY contest_date LIMIT 1),
+rc(candidate, w) AS (VALUES ('w000', 0.0), ('w010', 0.1), ('w025', 0.25), ('w050', 0.5), ('w100', 1.0)),
+rp AS (SELECT c.candidate, x.contest_id, x.contest_date, x.label, (1 - c.w) * x.p_market + c.w * x.p_form AS p
+  FROM wide x JOIN rw ON x.contest_date <= rw.contest_date, rc c),
+rl AS (SELECT candidate, contest_id, contest_date, avg(pow(p - label, 2)) AS b,
+  avg(-(label * ln(least(greatest(p, 1e-12), 1 - 1e-12)) + (1 - label) * ln(1 - least(greatest(p, 1e-12), 1 - 1e-12)))) AS l FROM rp GROUP BY 1, 2, 3),
+rb AS (SELECT candidate AS best FROM rl GROUP BY candidate ORDER BY avg(b), avg(l), candidate LIMIT 1),
+rx AS (SELECT i.contest_date, i.b - o.b AS d FROM rl i JOIN rl o ON o.contest_id = i.contest_id, rb WHERE i.candidate = 'w000' AND o.candidate = rb.best),
+rm AS (SELECT avg(d) AS m, count(*) AS n FROM rx),
+rk AS (SELECT rm.m <= sqrt(count(*) / (count(*) - 1.0) * sum(pow(s, 2)) / pow(rm.n, 2)) + 1e-15 AS keep
+  FROM (SELECT contest_date, sum(d - (SELECT m FROM rm)) AS s FROM rx GROUP BY 1), rm GROUP BY rm.m, rm.n)
+----
+SELECT CASE WHEN h.contest_date IS NULL THEN 'collecting' ELSE 'review_ready' END AS status, h.contest_date AS window_end,
+  coalesce(h.contests, r.contests) AS contests, coalesce(h.dates, r.dates) AS dates, coalesce(h.elapsed_days, r.elapsed_days) AS elapsed_days,
+  CASE WHEN keep THEN 'w000' ELSE best END AS winner, best AS point_best, CAST(keep AS VARCHAR) AS incumbent_retained
+FROM rr r LEFT JOIN rw h ON true LEFT JOIN rb ON true LEFT JOIN rk ON true ORDER BY r.contest_date DESC LIMIT 1"""
+
+
+REVIEWED = "status:s window_end:d contests:i dates:i elapsed_days:i winner:s point_best:s incumbent_retained:s"
+
+
+def review_input(spark, sf):
+    rows = predictions(spark, sf)
+    weights = {"w000": 0.0, "w010": 0.1, "w025": 0.25, "w050": 0.5, "w100": 1.0}
+    return rows.select(
+        "contest_id", "contest_date", "label", *[((1 - w) * F.col("p_market") + w * F.col("p_form")).alias(f"p_{n}") for n, w in weights.items()]
+    )
+
+
+@check("review_decision", REVIEWED, review_sql(200, 30, 90))
+def _(spark, sf):
+    return selection.review_decision(review_input(spark, sf), contests=200, dates=30, days=90)
+
+
+@check("review_collecting", REVIEWED, review_sql(10**9, 60, 90))
+def _(spark, sf):
+    return selection.review_decision(review_input(spark, sf), contests=10**9)
+
+
 LOCK_ROWS = """
 WITH lk AS (SELECT w.contest_id, w.contest_date, w.subject_id, w.entry_no, w.field_size, w.surface, w.distance_m, e.turn_direction,
   p_market, CASE WHEN career_starts >= 3 THEN p_form END AS p_nonmarket, career_starts >= 3 AS own, w.contest_id % 4 AS r
@@ -767,15 +818,33 @@ def _(spark, sf):
     return review(spark, sf)[1]
 
 
+def _field(text):
+    return f"coalesce(length({text}) || ':' || {text}, '-')"
+
+
+# The second and third field hold a separator, run into each other or are NULL in some rows.
+FINGERPRINT = f"""
+WITH f AS (SELECT surface, CAST(contest_id AS VARCHAR) AS a, CASE WHEN contest_id % 5 <> 0 THEN 'x' || repeat('|', CAST(contest_id % 3 AS INT)) END AS b,
+  repeat('|', CAST(2 - contest_id % 3 AS INT)) || CAST(subject_id AS VARCHAR) AS c FROM entries),
+h AS (SELECT surface, sha256({_field('a')} || {_field('b')} || {_field('c')}) AS d FROM f)
+----
+SELECT surface AS candidate, count(*) AS rows, {" || '-' || ".join(
+    f"CAST(sum(CAST('0x' || substr(d, {1 + 15 * k}, 15) AS BIGINT)) AS VARCHAR)" for k in range(4))} AS fingerprint FROM h GROUP BY surface"""
+
+
 @check(
     "row_fingerprint",
     "candidate:s rows:i fingerprint:s",
-    """SELECT surface AS candidate, count(*) AS rows, CAST(sum(CAST('0x' || substr(sha256(concat_ws('|', CAST(contest_id AS VARCHAR),
-  CAST(subject_id AS VARCHAR), CAST(contest_date AS VARCHAR))), 1, 15) AS BIGINT)) AS VARCHAR) AS fingerprint FROM entries GROUP BY surface""",
+    FINGERPRINT,
 )
 def _(spark, sf):
-    rows = entries(spark, sf).withColumn("candidate", F.col("surface"))
-    return row_fingerprint(rows, ["contest_id", "subject_id", "contest_date"], ["candidate"])
+    m = F.col("contest_id") % 3
+    rows = entries(spark, sf).select(
+        F.col("surface").alias("candidate"), F.col("contest_id").alias("a"),
+        F.when(F.col("contest_id") % 5 != 0, F.concat(F.lit("x"), F.expr("repeat('|', int(contest_id % 3))"))).alias("b"),
+        F.concat(F.when(m == 0, "||").when(m == 1, "|").otherwise(""), F.col("subject_id").cast("string")).alias("c"),
+    )
+    return row_fingerprint(rows, ["a", "b", "c"], ["candidate"])
 
 
 @check("field_size", KEYS + "n_declared:i n_starters:i", "SELECT *, declared_size AS n_declared, field_size AS n_starters FROM entries")

@@ -56,20 +56,25 @@ CTES["timed"] = """
 SELECT *, (time_s - winner_time) / CASE WHEN winner_time > 0 THEN winner_time END AS rel_time
 FROM (SELECT *, min(CASE WHEN finish_position = 1 THEN time_s END) OVER (PARTITION BY contest_id) AS winner_time
       FROM starters)"""
-# One start per subject and day for everything that looks at single earlier starts.
+# One start per subject and day.
 CTES["reps"] = """
 SELECT * FROM timed QUALIFY row_number() OVER (PARTITION BY subject_id, contest_date ORDER BY contest_id) = 1"""
+# The last four starts before each day of a subject, of all starts of earlier days.
+CTES["earlier"] = """
+SELECT d.subject_id, d.contest_date, e.contest_date AS prev_date, e.distance_m, e.surface, e.weight, e.finish_pct, e.label,
+  e.is_open_plus, e.is_graded, e.rel_time, e.early_pct,
+  row_number() OVER (PARTITION BY d.subject_id, d.contest_date ORDER BY e.contest_date DESC, e.contest_id DESC) AS rn
+FROM (SELECT DISTINCT subject_id, contest_date FROM starters) d
+LEFT JOIN timed e ON e.subject_id = d.subject_id AND e.contest_date < d.contest_date
+QUALIFY rn <= 4"""
 CTES["rep_recent"] = """
-SELECT subject_id, contest_date,
-  lag(contest_date) OVER o AS prev_date, lag(distance_m) OVER o AS prev_distance_m,
-  lag(surface) OVER o AS prev_surface, lag(weight) OVER o AS prev_weight,
-  avg(finish_pct) OVER (o ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS recent3_finish_pct,
-  sum(label) OVER (o ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS recent3_top3,
-  sum(is_open_plus) OVER (o ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS recent3_open_plus,
-  sum(is_graded) OVER (o ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS recent3_graded,
-  avg(rel_time) OVER (o ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS recent3_rel_time,
-  avg(early_pct) OVER (o ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS recent4_early_pct
-FROM reps WINDOW o AS (PARTITION BY subject_id ORDER BY contest_date)"""
+SELECT subject_id, contest_date, max(CASE WHEN rn = 1 THEN prev_date END) AS prev_date,
+  max(CASE WHEN rn = 1 THEN distance_m END) AS prev_distance_m, max(CASE WHEN rn = 1 THEN surface END) AS prev_surface,
+  max(CASE WHEN rn = 1 THEN weight END) AS prev_weight,
+  avg(CASE WHEN rn <= 3 THEN finish_pct END) AS recent3_finish_pct, sum(CASE WHEN rn <= 3 THEN label END) AS recent3_top3,
+  sum(CASE WHEN rn <= 3 THEN is_open_plus END) AS recent3_open_plus, sum(CASE WHEN rn <= 3 THEN is_graded END) AS recent3_graded,
+  avg(CASE WHEN rn <= 3 THEN rel_time END) AS recent3_rel_time, avg(early_pct) AS recent4_early_pct
+FROM earlier GROUP BY subject_id, contest_date"""
 CTES["rep_trend"] = """
 SELECT subject_id, contest_date,
   lag(recent3_finish_pct) OVER o - recent3_finish_pct AS trend_finish,

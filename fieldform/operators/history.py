@@ -4,9 +4,9 @@ Entries are first combined per subject and day, so that an ordered window never
 more rows of one subject than there are calendar days, however many entries a hot
 subject has.  The day states are then joined back to every entry.
 
-Same-day entries never see each other.  Where a summary needs one row per start (last
-three, previous distance), a day with several entries is represented by its lowest
-contest id; counts always use all entries.
+Same-day entries never see each other.  Summaries of single starts (last three, previous
+distance) run over all starts of earlier days in the order of day and contest id, so each day
+keeps as many of its last starts as the longest summary needs; counts use all entries.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ RECENT = (
     ("rel_time", "recent3_rel_time", 3, "avg"),
     ("early_pct", "recent4_early_pct", 4, "avg"),
 )
+DEPTH = max(k for _, _, k, _ in RECENT)
 TRENDS = {
     "trend_finish": ("recent3_finish_pct", -1),
     "trend_time": ("recent3_rel_time", -1),
@@ -64,40 +65,51 @@ def winner_relative(entries: DataFrame) -> DataFrame:
 
 
 def daily_starts(entries: DataFrame) -> DataFrame:
-    """One row per subject and day: counts over all entries and the representative start."""
+    """One row per subject and day: counts over all entries and the last starts of the day, oldest first."""
     turf = F.lower("surface") == "turf"
-    return entries.groupBy(SUBJECT, DAY).agg(
+    newest = Window.partitionBy(SUBJECT, DAY).orderBy(F.desc(CONTEST))
+    numbered = entries.withColumn("_rn", F.row_number().over(newest))
+    start = F.when(F.col("_rn") <= DEPTH, F.struct((-F.col("_rn")).alias("_at"), *START_FIELDS))
+    return numbered.groupBy(SUBJECT, DAY).agg(
         F.count("*").alias("n"),
         F.sum("label").alias("s"),
         F.count_if(turf).alias("turf_n"),
         F.sum(F.when(turf, F.col("label")).otherwise(0)).alias("turf_s"),
-        F.min_by(F.struct(*START_FIELDS), CONTEST).alias("start"),
+        F.sort_array(F.collect_list(start)).alias("starts"),
     )
 
 
+def _recent(starts: Column, source: str, k: int, op: str) -> Column:
+    """Mean or sum of the known values of the last ``k`` of ``starts``; NULL if none is known."""
+    tail = F.slice(starts, F.greatest(F.size(starts) - (k - 1), F.lit(1)), k)
+    known = F.filter(F.transform(tail, lambda s: s[source].cast("double")), lambda x: x.isNotNull())
+    total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x)
+    value = total / F.size(known) if op == "avg" else total.cast("long")
+    return F.when(F.size(known) > 0, value)
+
+
 def day_states(daily: DataFrame) -> DataFrame:
     """State of a subject at the end of each of its days."""
     upto = Window.partitionBy(SUBJECT).orderBy(DAY)
     totals = upto.rowsBetween(Window.unboundedPreceding, 0)
-
-    def recent(lag: int) -> list[Column]:
-        ops = {"avg": F.avg, "sum": F.sum}
-        return [
-            ops[op](f"start.{src}").over(upto.rowsBetween(1 - k - lag, -lag)).alias(name)
-            for src, name, k, op in RECENT
-        ]
-
-    return daily.select(
+    # A day has at least one start, so the last starts lie in as many last days.
+    lately = F.flatten(F.collect_list("starts").over(upto.rowsBetween(1 - DEPTH, 0)))
+    summed = daily.select(
+        SUBJECT, DAY, *[F.sum(c).over(totals).alias(c) for c in ("n", "s", "turf_n", "turf_s")], lately.alias("lately")
+    )
+    recent = [_recent(F.col("lately"), src, k, op).alias(name) for src, name, k, op in RECENT]
+    summed = summed.withColumn("last", F.element_at("lately", -1)).withColumn("recent", F.struct(*recent))
+    return summed.select(
         SUBJECT,
         DAY,
         F.struct(
-            *[F.sum(c).over(totals).alias(c) for c in ("n", "s", "turf_n", "turf_s")],
+            "n", "s", "turf_n", "turf_s",
             F.col(DAY).alias("prev_date"),
-            F.col("start.distance_m").alias("prev_distance_m"),
-            F.col("start.surface").alias("prev_surface"),
-            F.col("start.weight").alias("prev_weight"),
-            *recent(0),
-            F.struct(*recent(1)).alias("before"),
+            F.col("last.distance_m").alias("prev_distance_m"),
+            F.col("last.surface").alias("prev_surface"),
+            F.col("last.weight").alias("prev_weight"),
+            *[F.col(f"recent.{name}").alias(name) for _, name, _, _ in RECENT],
+            F.lag("recent").over(upto).alias("before"),
         ).alias("state"),
     )
 

@@ -130,50 +130,64 @@ def verify_two_views(results: DataFrame, roster: DataFrame) -> tuple[DataFrame,
     return both.withColumn("violation", code).filter("violation is not null"), counts
 
 
+NUMBERS = ("double", "float", "bigint", "int", "smallint", "tinyint")
+
+
+def _gap(x: Column, y: Column, kind: str) -> Column | None:
+    """Distance of two values of one type: numbers as they are, dates in days, times in seconds; None for others."""
+    if kind in NUMBERS or kind.startswith("decimal"):
+        return F.abs(x.cast("double") - y.cast("double"))
+    if kind == "date":
+        return F.abs(F.datediff(x, y)).cast("double")
+    if kind.startswith("timestamp"):
+        return F.abs(x.cast("timestamp").cast("double") - y.cast("timestamp").cast("double"))
+    return None
+
+
 def table_diff(
     a: DataFrame, b: DataFrame, keys: str | Sequence[str], tol: float = 1e-10, allowed: Sequence[str] = ()
 ) -> DataFrame:
     """Per column: rows whose NULLs differ, largest absolute error, values off by more than ``tol``.
 
-    Keys found on one side only are reported as column ``<keys>``; columns in ``allowed`` may differ.
+    Keys found on one side only are reported as column ``<keys>``.  A column that one side lacks, or
+    that has no comparable type there, differs in every common row.  Columns in ``allowed`` may differ.
     """
     on = names(keys)
-    cols = [c for c in a.columns if c in b.columns and c not in on]
-    kinds = dict(a.dtypes)
-    numeric = [c for c in cols if kinds[c] in ("double", "float", "int", "bigint", "smallint", "tinyint")]
-    left = a.select(*on, *cols).withColumn("_a", F.lit(True))
-    right = b.select(*on, *[F.col(c).alias(f"_{c}") for c in cols]).withColumn("_b", F.lit(True))
-    joined = left.join(right, on, "full_outer")
-    both = F.col("_a") & F.col("_b")
-
-    def facts(c: str) -> list[Column]:
-        x, y = F.col(c), F.col(f"_{c}")
-        nulls = F.count_if(both & (x.isNull() != y.isNull()))
-        if c in numeric:
-            gap = F.when(both, F.abs(x.cast("double") - y.cast("double")))
-            worst, off = F.coalesce(F.max(gap), F.lit(0.0)), F.count_if(gap > tol)
-        else:
-            worst, off = F.lit(None).cast("double"), F.count_if(both & (x != y))
-        return [nulls.alias(f"n|{c}"), worst.alias(f"w|{c}"), off.alias(f"o|{c}")]
-
-    lone = F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("_lone")
-    wide = joined.agg(F.count_if(both).alias("_rows"), lone, *[f for c in cols for f in facts(c)])
-    none = F.lit(None).cast("double")
-    items = [
-        F.struct(
-            F.lit("<keys>").alias("column_name"), F.col("_lone").alias("null_mismatches"), none.alias("max_abs_error"),
-            F.lit(0).cast("long").alias("value_mismatches"),
-        )
-    ]
-    for c in cols:
-        items.append(
-            F.struct(
-                F.lit(c).alias("column_name"), F.col(f"`n|{c}`").alias("null_mismatches"),
-                F.col(f"`w|{c}`").alias("max_abs_error"), F.col(f"`o|{c}`").alias("value_mismatches"),
-            )
-        )
-    out = wide.select(F.col("_rows").alias("rows"), F.explode(F.array(*items)).alias("_i")).select("rows", "_i.*")
+    sides = [dict(a.dtypes), dict(b.dtypes)]
+    cols = [c for c in dict.fromkeys([*a.columns, *b.columns]) if c not in on]
+
+    def comparable(c: str) -> bool:
+        kinds = [side.get(c) for side in sides]
+        return None not in kinds and (kinds[0] == kinds[1] or all(k in NUMBERS or k.startswith("decimal") for k in kinds))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        held = [F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(cols) if comparable(c)]
+        key = [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(on)]
+        return df.select(F.struct(*key).alias("key"), F.struct(F.lit(True).alias("here"), *held).alias(name))
+
+    joined = side(a, "left_row").join(side(b, "right_row"), "key", "full_outer")
+    both = F.col("left_row").isNotNull() & F.col("right_row").isNotNull()
+
+    def facts(i: int, c: str) -> Column:
+        none = F.lit(None).cast("double")
+        if not comparable(c):
+            return F.struct(F.lit(c).alias("column_name"), F.count_if(both).alias("null_mismatches"), none.alias("max_abs_error"),
+                            F.lit(0).cast("long").alias("value_mismatches"))
+        x, y = F.col(f"left_row.v{i}"), F.col(f"right_row.v{i}")
+        gap = _gap(x, y, sides[0][c])
+        worst = none if gap is None else F.coalesce(F.max(F.when(both, gap)), F.lit(0.0))
+        off = F.count_if(both & (x != y)) if gap is None else F.count_if(both & (gap > tol))
+        return F.struct(F.lit(c).alias("column_name"), F.count_if(both & (x.isNull() != y.isNull())).alias("null_mismatches"),
+                        worst.alias("max_abs_error"), off.alias("value_mismatches"))
+
+    lone = F.struct(F.lit("<keys>").alias("column_name"), F.count_if(~both).alias("null_mismatches"),
+                    F.lit(None).cast("double").alias("max_abs_error"), F.lit(0).cast("long").alias("value_mismatches"))
+    items = F.array(lone, *[facts(i, c) for i, c in enumerate(cols)])
+    wide = joined.agg(F.count_if(both).alias("rows"), items.alias("items"))
+    out = wide.select("rows", F.explode("items").alias("_i")).select("rows", "_i.*")
     bad = (F.col("null_mismatches") > 0) | (F.col("value_mismatches") > 0)
+    if [c for c in cols if not comparable(c)]:
+        bad = bad | F.col("column_name").isin(*[c for c in cols if not comparable(c)])
     verdict = F.when(~bad, "equal").when(F.col("column_name").isin(*allowed), "allowed").otherwise("different")
     return out.withColumn("verdict", verdict if allowed else F.when(bad, "different").otherwise("equal"))
 

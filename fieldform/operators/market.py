@@ -249,6 +249,7 @@ LOW, HIGH, STEPS, SECTIONS = -40.0, 40.0, 60, 32
 def logit_shift_to_sum(df: DataFrame, p: str, contest: str = CONTEST, slots: float = 3.0) -> DataFrame:
     """Shift the logits of each contest by one offset so that its probabilities sum to ``slots``.
 
+    A contest with any unknown probability has no such offset and gets NULL, as do rows without a contest.
     Contests that fit an array are bisected after one aggregation.  Larger ones are solved
     exactly as well, by repeated sums over all tasks that narrow the bracket 32-fold.
     """
@@ -260,7 +261,7 @@ def logit_shift_to_sum(df: DataFrame, p: str, contest: str = CONTEST, slots: flo
         small = rows.join(sizes.filter(F.col("_n") <= ARRAY_ROWS), contest, "left_semi")
         big = rows.join(sizes.filter(F.col("_n") > ARRAY_ROWS), contest, "left_semi")
         shifts = _bisect_arrays(small, contest, slots).unionByName(_narrow_sums(big, contest, slots))
-    return rows.join(shifts, contest).withColumn("p_adjusted", sigmoid(F.col("_x") + F.col("shift"))).drop("_x")
+    return rows.join(shifts, contest, "left").withColumn("p_adjusted", sigmoid(F.col("_x") + F.col("shift"))).drop("_x")
 
 
 def _target(n: Column, slots: float) -> Column:
@@ -269,8 +270,10 @@ def _target(n: Column, slots: float) -> Column:
 
 def _bisect_arrays(rows: DataFrame, contest: str, slots: float) -> DataFrame:
     arrays = rows.groupBy(contest).agg(
-        F.collect_list("_x").alias("_xs"), _target(F.count("*"), slots).alias("_goal")
+        F.collect_list("_x").alias("_xs"), F.count("*").alias("_n"), _target(F.count("*"), slots).alias("_goal")
     )
+    # Of an empty array nothing could be summed; of one with gaps not all would be.
+    arrays = arrays.filter((F.size("_xs") == F.col("_n")) & F.col(contest).isNotNull())
     return arrays.select(contest, bisected_shift("_xs", "_goal").alias("shift"))
 
 
@@ -289,7 +292,8 @@ def bisected_shift(xs: pd.Series, goal: pd.Series) -> pd.Series:
 
 def _narrow_sums(rows: DataFrame, contest: str, slots: float) -> DataFrame:
     rows = materialize(rows.select(contest, "_x"), "large-contests")
-    bracket = rows.groupBy(contest).agg(_target(F.count("*"), slots).alias("_goal"))
+    known = rows.groupBy(contest).agg(_target(F.count("*"), slots).alias("_goal"), (F.count("_x") == F.count("*")).alias("_known"))
+    bracket = known.filter(F.col("_known") & F.col(contest).isNotNull()).drop("_known")
     bracket = bracket.select("*", F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi"))
     rounds = 12  # 80 / 32**12 is far below the spacing of doubles
     for _ in range(rounds):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldform.functions.contest import FIELD_BANDS, REST_BANDS, START_BANDS, right_closed
 from fieldform.functions.probability import apply_logit_calibrator, brier, field_size_baseline, log_loss, logit
-from fieldform.scale import names, rank_rows, with_group
+from fieldform.scale import materialize, names, rank_rows, with_group
 
 CONTEST, BLOCK = "contest_id", "contest_date"
 DIMENSIONS = ("year", "field_size_band", "contest_class", "venue", "rest_band", "starts_band")
@@ -124,7 +124,10 @@ def field_sum_check(df: DataFrame, p: str = "p", by: Sequence[str] = ("candidate
 
 # --- calibration line -----------------------------------------------------------------
 
-NEWTON_STEPS = 8
+MOST_STEPS, SCORE_TOLERANCE = 60, 1e-9
+#: Parts of a Newton step that one pass tries; the first that does not lose likelihood is taken.
+PARTS = (1.0, 0.5, 0.25, 0.0625, 0.00390625)
+BROADCAST_GROUPS = 10_000
 
 
 def calibration_line(
@@ -132,46 +135,72 @@ def calibration_line(
 ) -> DataFrame:
     """Unpenalized fit of logit(P(y)) = intercept + slope * logit(p), for every group at once.
 
-    Each Newton step is one combinable aggregation; coefficients stay in a table of one
-    row per group.  Fewer than ``min_rows`` rows or a single outcome gives NULL.
+    Newton steps from (logit of the rate, 0).  One pass over the rows evaluates a step and smaller parts of
+    it, so a step that would lose likelihood is shortened without another pass; groups that are done
+    leave the later passes.  ``converged`` says that both score equations hold.  Fewer than ``min_rows`` rows,
+    a single outcome, equal logits throughout or separated outcomes have no finite line and give NULL.
     """
     keys = names(by) or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(0))
     rows = rows.filter(F.col(p).isNotNull()).select(*keys, logit(p).alias("_x"), F.col(y).cast("double").alias("_y"))
+    rows = materialize(rows, "logits")
     fit = rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum("_y").alias("positives"))
     usable = (F.col("rows") >= min_rows) & (F.col("positives") > 0) & (F.col("positives") < F.col("rows"))
+    zero = F.lit(0.0)
     fit = fit.select(
-        *keys, "rows", "positives",
-        F.when(usable, 0.0).alias("intercept"), F.when(usable, 1.0).alias("slope"),
+        *keys, "rows", "positives", F.ln(F.col("positives") / (F.col("rows") - F.col("positives"))).alias("a"), zero.alias("b"),
+        zero.alias("da"), zero.alias("db"), F.lit(float("-inf")).alias("best"), (~F.coalesce(usable, F.lit(False))).alias("done"),
+        F.lit(False).alias("converged"),
     )
-    for _ in range(NEWTON_STEPS):
-        fit = _newton_step(rows, fit, keys)
-    return fit.drop("_all") if not by else fit
-
-
-def _newton_step(rows: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
-    x, a, b = F.col("_x"), F.col("intercept"), F.col("slope")
-    mu = 1 / (1 + F.exp(-(a + b * x)))
-    w = mu * (1 - mu)
-    r = F.col("_y") - mu
-    sums = (
-        rows.join(fit, keys)
-        .groupBy(*keys)
-        .agg(
-            F.first("rows").alias("rows"), F.first("positives").alias("positives"),
-            F.first("intercept").alias("intercept"), F.first("slope").alias("slope"),
-            F.sum(r).alias("_g0"), F.sum(r * x).alias("_g1"),
-            F.sum(w).alias("_h0"), F.sum(w * x).alias("_h1"), F.sum(w * x * x).alias("_h2"),
-        )
+    fit = materialize(fit, "lines")
+    hint = F.broadcast if fit.count() <= BROADCAST_GROUPS else (lambda side: side)
+    for _ in range(MOST_STEPS):
+        if not fit.filter("not done").head(1):
+            break
+        fit = materialize(_newton_step(rows, fit, keys, hint), "lines")
+    found = F.col("converged")
+    out = fit.select(
+        *keys, "rows", "positives", F.when(found, F.col("a")).alias("intercept"), F.when(found, F.col("b")).alias("slope"), "converged"
     )
-    det = F.col("_h0") * F.col("_h2") - F.col("_h1") * F.col("_h1")
-    da = (F.col("_h2") * F.col("_g0") - F.col("_h1") * F.col("_g1")) / det
-    db = (F.col("_h0") * F.col("_g1") - F.col("_h1") * F.col("_g0")) / det
-    # Equal logits in a group leave the slope undetermined.
-    solvable = det > 0
-    return sums.select(
+    return out.drop("_all") if not by else out
+
+
+def _newton_step(rows: DataFrame, fit: DataFrame, keys: list[str], hint) -> DataFrame:
+    """Take the longest part of each pending step that does not lose likelihood, and find the next step."""
+    x, y = F.col("_x"), F.col("_y")
+    sums = []
+    for k, part in enumerate(PARTS):
+        z = F.col("a") + part * F.col("da") + (F.col("b") + part * F.col("db")) * x
+        mu = 1 / (1 + F.exp(-z))
+        w = mu * (1 - mu)
+        gain = y * z - F.greatest(z, F.lit(0.0)) - F.log1p(F.exp(-F.abs(z)))
+        sums += [F.sum(v).alias(f"{n}{k}") for n, v in (("l", gain), ("g", y - mu), ("j", (y - mu) * x), ("h", w), ("i", w * x), ("k", w * x * x))]
+    active = fit.filter("not done").select(*keys, "a", "b", "da", "db")
+    seen = rows.join(hint(active), keys).groupBy(*keys).agg(*sums)
+    taken = F.lit(None).cast("struct<part:double,l:double,g:double,j:double,h:double,i:double,k:double>")
+    for k in reversed(range(len(PARTS))):
+        tried = F.struct(F.lit(PARTS[k]).alias("part"), *[F.col(f"{n}{k}").alias(n) for n in "lgjhik"])
+        # Equal likelihood up to rounding is no loss.
+        held = F.col(f"l{k}") >= F.col("best") - 1e-12 * F.abs(F.col("best"))
+        taken = F.when(F.coalesce(held | (F.col("best") == float("-inf")), F.lit(False)), tried).otherwise(taken)
+    joined = fit.join(hint(seen), keys, "left").withColumn("t", F.when(~F.col("done"), taken))
+    t = {n: F.col(f"t.{n}") for n in ("part", *"lgjhik")}
+    det = t["h"] * t["k"] - t["i"] * t["i"]
+    small = F.greatest(F.abs(t["g"]), F.abs(t["j"])) <= SCORE_TOLERANCE * F.col("rows")
+    solvable = F.coalesce(det > 1e-12 * t["h"] * t["k"], F.lit(False))
+    # Probabilities of 0 and 1 throughout: the outcomes are separated and the line runs off.
+    solvable = solvable & (t["h"] > 1e-7 * F.col("rows"))
+    moved = F.col("t").isNotNull()
+    held = lambda new, old: F.when(moved, new).otherwise(F.col(old)).alias(old)
+    return joined.select(
         *keys, "rows", "positives",
-        F.when(solvable, a + da).alias("intercept"), F.when(solvable, b + db).alias("slope"),
+        held(F.col("a") + t["part"] * F.col("da"), "a"), held(F.col("b") + t["part"] * F.col("db"), "b"),
+        held(F.when(solvable, (t["k"] * t["g"] - t["i"] * t["j"]) / det).otherwise(0.0), "da"),
+        held(F.when(solvable, (t["h"] * t["j"] - t["i"] * t["g"]) / det).otherwise(0.0), "db"),
+        held(t["l"], "best"),
+        # Done when the scores vanish, when no part of the step helps, or when there is no step.
+        (F.col("done") | ~moved | small | ~solvable).alias("done"),
+        F.when(F.col("done"), F.col("converged")).otherwise(F.coalesce(moved & small & solvable, F.lit(False))).alias("converged"),
     )
 
 

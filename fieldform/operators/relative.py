@@ -88,10 +88,14 @@ def interactions(df: DataFrame) -> DataFrame:
 
 
 def surface_base(df: DataFrame, surface: str) -> DataFrame:
-    """One surface; on dirt the same-surface history takes the turf slots."""
+    """Rows of one surface; on dirt the same-surface history takes the turf slots.
+
+    A row of another or of no surface fails the job: callers choose their rows, nothing is left out here.
+    """
     if surface not in ("turf", "dirt"):
         raise ContractError(f"unsupported surface {surface!r}")
-    out = df.filter(F.col("surface") == surface)
+    one = F.col("surface").eqNullSafe(F.lit(surface))
+    out = df.filter(F.assert_true(one, f"mixed surface: not all rows are {surface}").isNull())
     if surface == "dirt":
         out = out.withColumns(
             {"turf_starts": F.col("same_surface_starts"), "turf_top3": F.col("same_surface_top3")}

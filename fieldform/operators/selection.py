@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldform.functions.probability import brier, convex_blend, log_loss
 from fieldform.operators.metrics import candidate_scores
+from fieldform.operators.quality import first_qualifying_window
 from fieldform.scale import materialize, names
 
 CONTEST = "contest_id"
@@ -139,6 +140,45 @@ def select_simplest_one_se(losses: DataFrame, complexity: DataFrame) -> DataFram
     return table.withColumn("is_selected", F.col("candidate") == chosen)
 
 
+# --- review of locked weights ---------------------------------------------------------
+
+# What a review needs before any score is shown.
+REVIEW_CONTESTS, REVIEW_DATES, REVIEW_DAYS = 1000, 60, 90
+LOCKED = ("w000", "w010", "w025", "w050", "w100")
+
+
+def review_decision(
+    df: DataFrame, locked: Sequence[str] = LOCKED, contests: int = REVIEW_CONTESTS, dates: int = REVIEW_DATES,
+    days: int = REVIEW_DAYS,
+) -> DataFrame:
+    """One row: ``collecting`` with counts only, or the decision over the rows up to the first qualifying day.
+
+    ``df`` has (contest_id, contest_date, label) and ``p_<name>`` for each locked candidate; the first of
+    them is the incumbent.  Rows after the window never enter the decision.
+    """
+    window = materialize(first_qualifying_window(df, contests, dates, days), "window")
+    row = window.first()
+    none = F.lit(None)
+    if row["window_end"] is None:
+        return window.select(
+            "*", none.cast("string").alias("winner"), none.cast("string").alias("point_best"), none.cast("boolean").alias("incumbent_retained")
+        )
+    inside = df.filter(F.col("contest_date") <= F.lit(row["window_end"]))
+    # One wide aggregation per contest; candidates unfold after it.
+    means = [f(f"p_{c}", "label") for c in locked for f in (brier, log_loss)]
+    wide = inside.groupBy(CONTEST, F.col("contest_date").alias("block")).agg(
+        F.count("*").alias("rows"), *[F.avg(m).alias(f"m{i}") for i, m in enumerate(means)]
+    )
+    items = [
+        F.struct(F.lit(c).alias("candidate"), F.col(f"m{2 * i}").alias("brier"), F.col(f"m{2 * i + 1}").alias("log_loss"))
+        for i, c in enumerate(locked)
+    ]
+    losses = wide.select(CONTEST, "block", "rows", F.explode(F.array(*items)).alias("_i")).select(CONTEST, "block", "rows", "_i.*")
+    decision = select_one_se(losses, locked[0])[1].drop("incumbent")
+    # Two tables of one row each.
+    return window.withColumn("_one", F.lit(1)).join(decision.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 # --- blends ---------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldform.operators.joins import checked_join
 from fieldform.scale import with_group
 
 CONTEST = "contest_id"
@@ -51,10 +52,13 @@ def merge_authoritative(
 
 
 def apply_overrides(df: DataFrame, overrides: DataFrame, key: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Recorded corrections win over computed values; ``<column>_source`` tells which was used."""
+    """Recorded corrections win over computed values; ``<column>_source`` tells which was used.
+
+    Two corrections of one key are refused, since either would change the number of rows.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     right = overrides.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in columns])
-    out = df.join(right, keys, "left")
+    out = checked_join(df, right, keys, "left", "m:1")
     changes: dict[str, Column] = {}
     for c in columns:
         changes[c] = F.coalesce(f"_o_{c}", c)

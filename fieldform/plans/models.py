@@ -40,39 +40,47 @@ EXTRAS = {
     "interaction": INTERACTIONS,
     **{b: tuple(f"{b}_{s}" for s in ("shrunk", "log_starts", "zero", "missing", "relative")) for b in BLOCKS},
 }
-MAX_LEVELS = 1000
 RARE, UNSEEN = "<rare>", "<unseen>"
 
-# Configurations by family in order of complexity.
+# Configurations by family in order of complexity, under the names of Spark's
+# parameters; ``unsupported`` holds the values that Spark's trees have no parameter for.
 CONFIGS = {
     "random_forest": {
-        "RF01": {"max_depth": 5, "min_leaf": 50, "features": "sqrt"},
-        "RF02": {"max_depth": 5, "min_leaf": 20, "features": "sqrt"},
-        "RF03": {"max_depth": 8, "min_leaf": 50, "features": "sqrt"},
-        "RF04": {"max_depth": 8, "min_leaf": 20, "features": "sqrt"},
-        "RF05": {"max_depth": 8, "min_leaf": 20, "features": "0.7"},
-        "RF06": {"max_depth": None, "min_leaf": 30, "features": "0.7"},
+        "RF01": {"maxDepth": 5, "minInstancesPerNode": 50, "featureSubsetStrategy": "sqrt"},
+        "RF02": {"maxDepth": 5, "minInstancesPerNode": 20, "featureSubsetStrategy": "sqrt"},
+        "RF03": {"maxDepth": 8, "minInstancesPerNode": 50, "featureSubsetStrategy": "sqrt"},
+        "RF04": {"maxDepth": 8, "minInstancesPerNode": 20, "featureSubsetStrategy": "sqrt"},
+        "RF05": {"maxDepth": 8, "minInstancesPerNode": 20, "featureSubsetStrategy": "0.7"},
+        "RF06": {"maxDepth": None, "minInstancesPerNode": 30, "featureSubsetStrategy": "0.7"},
     },
     "hist_gradient_boosting": {
-        "HGB01": {"rate": 0.03, "max_leaves": 15, "min_leaf": 50},
-        "HGB02": {"rate": 0.03, "max_leaves": 31, "min_leaf": 50},
-        "HGB03": {"rate": 0.05, "max_leaves": 15, "min_leaf": 30},
-        "HGB04": {"rate": 0.05, "max_leaves": 31, "min_leaf": 30},
-        "HGB05": {"rate": 0.08, "max_leaves": 31, "min_leaf": 20},
-        "HGB06": {"rate": 0.08, "max_leaves": 63, "min_leaf": 20},
+        "HGB01": {"stepSize": 0.03, "minInstancesPerNode": 50, "unsupported": {"max_leaf_nodes": 15, "l2_regularization": 2.0}},
+        "HGB02": {"stepSize": 0.03, "minInstancesPerNode": 50, "unsupported": {"max_leaf_nodes": 31, "l2_regularization": 2.0}},
+        "HGB03": {"stepSize": 0.05, "minInstancesPerNode": 30, "unsupported": {"max_leaf_nodes": 15, "l2_regularization": 1.0}},
+        "HGB04": {"stepSize": 0.05, "minInstancesPerNode": 30, "unsupported": {"max_leaf_nodes": 31, "l2_regularization": 1.0}},
+        "HGB05": {"stepSize": 0.08, "minInstancesPerNode": 20, "unsupported": {"max_leaf_nodes": 31, "l2_regularization": 1.0}},
+        "HGB06": {"stepSize": 0.08, "minInstancesPerNode": 20, "unsupported": {"max_leaf_nodes": 63, "l2_regularization": 0.0}},
     },
-    "gradient_boosting": {
-        "GB01": {"rate": 0.03, "max_depth": 3, "min_leaf": 20},
-        "GB02": {"rate": 0.03, "max_depth": 4, "min_leaf": 10},
-        "GB03": {"rate": 0.05, "max_depth": 3, "min_leaf": 10},
-        "GB04": {"rate": 0.05, "max_depth": 5, "min_leaf": 10},
-        "GB05": {"rate": 0.08, "max_depth": 4, "min_leaf": 5},
-        "GB06": {"rate": 0.08, "max_depth": 6, "min_leaf": 5},
+    "xgboost": {
+        "XGB01": {"stepSize": 0.03, "maxDepth": 3, "unsupported": {"min_child_weight": 20, "reg_lambda": 5.0}},
+        "XGB02": {"stepSize": 0.03, "maxDepth": 4, "unsupported": {"min_child_weight": 10, "reg_lambda": 5.0}},
+        "XGB03": {"stepSize": 0.05, "maxDepth": 3, "unsupported": {"min_child_weight": 10, "reg_lambda": 2.0}},
+        "XGB04": {"stepSize": 0.05, "maxDepth": 5, "unsupported": {"min_child_weight": 10, "reg_lambda": 2.0}},
+        "XGB05": {"stepSize": 0.08, "maxDepth": 4, "unsupported": {"min_child_weight": 5, "reg_lambda": 1.0}},
+        "XGB06": {"stepSize": 0.08, "maxDepth": 6, "unsupported": {"min_child_weight": 5, "reg_lambda": 1.0}},
     },
 }
+# Settings that all configurations of a family share.
+SHARED = {
+    "random_forest": {"impurity": "entropy"},
+    "hist_gradient_boosting": {},
+    "xgboost": {"subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
+}
+ROUNDS = {"linear": 0, "random_forest": 500, "hist_gradient_boosting": 300, "xgboost": 500}
 C_GRID = (0.01, 0.03, 0.1, 0.3, 1.0)
 SEED = 20261003
-DEEPEST = 20  # stands for an unlimited tree depth
+# Stands for no limit: the deepest trees that Spark grows.
+DEEPEST = 30
 
 
 @dataclass(frozen=True)
@@ -82,7 +90,7 @@ class Recipe:
     name: str
     family: str = "linear"
     config: Mapping[str, object] = field(default_factory=lambda: {"C": 0.1})
-    rounds: int = 100
+    rounds: int | None = None
     extras: tuple[str, ...] = ()
     dropped: tuple[str, ...] = ()
     surface: str | None = None
@@ -112,7 +120,8 @@ def features(rows: DataFrame, panel: DataFrame, prior: float, recipe: Recipe) ->
         missing = [b for b in blocks if f"{b}_starts" not in panel.columns]
         if missing:
             raise ContractError(f"the panel lacks the block histories {missing}")
-        out = relative.block_features(rows, panel, prior, blocks, recipe.surface or "turf")
+        surface = recipe.surface or "turf"
+        out = relative.block_features(rows, panel.filter(F.col("surface") == surface), prior, blocks, surface)
     elif "relative" in recipe.extras:
         out = relative.relative_ability(rows, panel, prior)
     else:
@@ -124,11 +133,9 @@ def features(rows: DataFrame, panel: DataFrame, prior: float, recipe: Recipe) ->
 
 
 def _levels(df: DataFrame, column: str, min_frequency: int) -> tuple[list[str], list[str]]:
-    """Frequent and rare levels; refused beyond ``MAX_LEVELS``, which one-hot is not made for."""
+    """Frequent and rare levels.  A one-hot model lists every level it knows, so they are its size."""
     value = F.coalesce(F.col(column).cast("string"), F.lit("UNKNOWN")).alias("v")
-    rows = df.groupBy(value).count().limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ContractError(f"{column} has more than {MAX_LEVELS} levels")
+    rows = df.groupBy(value).count().collect()
     return sorted(r["v"] for r in rows if r["count"] >= min_frequency), sorted(r["v"] for r in rows if r["count"] < min_frequency)
 
 
@@ -183,15 +190,15 @@ def _estimator(recipe: Recipe, rows: int):
             **common, regParam=1.0 / (float(cfg["C"]) * rows), elasticNetParam=0.0, standardization=False, maxIter=100,
             tol=1e-7,
         )
+    cfg = {**SHARED[recipe.family], **{k: v for k, v in cfg.items() if k != "unsupported"}}
+    rounds = ROUNDS[recipe.family] if recipe.rounds is None else recipe.rounds
     if recipe.family == "random_forest":
-        return RandomForestClassifier(
-            **common, numTrees=recipe.rounds, maxDepth=cfg["max_depth"] or DEEPEST, minInstancesPerNode=cfg["min_leaf"],
-            featureSubsetStrategy=str(cfg["features"]), seed=SEED,
-        )
-    depth = cfg.get("max_depth") or max(1, (int(cfg["max_leaves"]) + 1).bit_length() - 1)
-    return GBTClassifier(
-        **common, maxIter=recipe.rounds, maxDepth=depth, stepSize=cfg["rate"], minInstancesPerNode=cfg["min_leaf"], seed=SEED
-    )
+        return RandomForestClassifier(**common, **{**cfg, "maxDepth": cfg["maxDepth"] or DEEPEST}, numTrees=rounds, seed=SEED)
+    leaves = recipe.config.get("unsupported", {}).get("max_leaf_nodes")
+    if leaves:
+        # Levels that hold so many leaves; Spark grows trees by level and not by best leaf.
+        cfg["maxDepth"] = (int(leaves) + 1).bit_length() - 1
+    return GBTClassifier(**common, **cfg, maxIter=rounds, seed=SEED)
 
 
 def fit(recipe: Recipe, train: DataFrame, panel: DataFrame) -> Fitted:
@@ -219,7 +226,7 @@ def fit_linear(train: DataFrame, panel: DataFrame, C: float = 0.1, **kw) -> Fitt
     return fit(Recipe(name=f"linear_C{C}", config={"C": C}, **kw), train, panel)
 
 
-def fit_trees(train: DataFrame, panel: DataFrame, family: str, config: str, rounds: int = 100, **kw) -> Fitted:
+def fit_trees(train: DataFrame, panel: DataFrame, family: str, config: str, rounds: int | None = None, **kw) -> Fitted:
     return fit(Recipe(name=config, family=family, config=CONFIGS[family][config], rounds=rounds, **kw), train, panel)
 
 

@@ -9,6 +9,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -18,20 +21,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldform.contracts import ContractError
+
 # The largest group that a single task is asked to sort or to hold as an array.
 GROUP_ROWS = 1_000_000
 ARRAY_ROWS = 4_096
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured."""
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+
+    Without one, a session whose executors are the driver itself gets a temporary folder that
+    ends with the process; any other is refused, since its executors could not read it.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return (configured or _unconfigured_dir()).rstrip("/")
+    if not configured and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ContractError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (configured or _local_dir()).rstrip("/")
 
 
 @cache
-def _unconfigured_dir() -> str:
-    return tempfile.mkdtemp(prefix="fieldform-")
+def _local_dir() -> str:
+    folder = tempfile.mkdtemp(prefix="fieldform-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -50,13 +63,13 @@ def names(keys: str | Sequence[str]) -> list[str]:
 
 
 def with_group(df: DataFrame, by: str | Sequence[str], *aggs: Column) -> DataFrame:
-    """Attach group aggregates to every row.  Keys must not be NULL.
+    """Attach group aggregates to every row; a row with a NULL key is of no group and gets NULL.
 
     The aggregate side is combined map-side and has one row per key, so adaptive
     execution can broadcast it when small and split a hot key on the row side.
     """
     keys = names(by)
-    return df.join(df.groupBy(*keys).agg(*aggs), keys)
+    return df.join(df.groupBy(*keys).agg(*aggs), keys, "left")
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:

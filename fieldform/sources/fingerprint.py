@@ -4,19 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEX_DIGITS = 15  # 60 bits of each row hash enter the sum
+WORD_DIGITS = 15  # hex digits of each of the four words that a row digest is cut into
+
+
+def _field(name: str) -> Column:
+    """Length and text of a value, so that fields cannot run into each other; NULL is no text."""
+    text = F.col(name).cast("string")
+    return F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
 def row_fingerprint(df: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Row count and the exact sum of truncated SHA-256 row hashes.
+    """Row count and, for each of four 60-bit words of the SHA-256 of a row, the exact sum over all rows.
 
-    The sum does not depend on order, combines map-side and never gathers a group, so two
+    The sums do not depend on order, combine map-side and never gather a group, so two
     candidates are known to be scored on the same rows without sorting either of them.
     """
-    fields = [F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for k in keys]
-    digest = F.substring(F.sha2(F.concat_ws("|", *fields), 256), 1, HEX_DIGITS)
-    value = F.conv(digest, 16, 10).cast("decimal(20,0)")
-    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(value).cast("string").alias("fingerprint"))
+    digest = F.sha2(F.concat(*[_field(k) for k in keys]), 256)
+    rows = df.select(*by, digest.alias("_digest"))
+    sums = [
+        F.sum(F.conv(F.substring("_digest", 1 + k * WORD_DIGITS, WORD_DIGITS), 16, 10).cast("decimal(20,0)")).cast("string")
+        for k in range(4)
+    ]
+    return rows.groupBy(*by).agg(F.count("*").alias("rows"), F.concat_ws("-", *sums).alias("fingerprint"))

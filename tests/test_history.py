@@ -30,9 +30,9 @@ def test_same_day_entries_do_not_see_each_other(spark):
 
 def test_outcomes_of_the_target_day_never_move_predictors(spark):
     rows = field(spark, rotating())
-    outcomes = {"finish_position": F.lit(1), "label": F.lit(1), "time_s": F.lit(1.0), "early_pct": F.lit(0.0)}
+    outcomes = {"finish_position": F.lit(1), "label": F.lit(1), "time_s": F.lit(1.0), "early_pct": F.lit(0.0), "finish_pct": F.lit(0.0)}
     report = history.leakage_probe(
-        rows, history.build_panel, F.col("contest_id") == 5, ["career_top3", "recent3_rel_time", "front_share", "trend_top3"], outcomes
+        rows, history.build_panel, F.col("contest_id") == 5, ["career_top3", "recent3_rel_time", "recent3_finish_pct", "front_share", "trend_top3"], outcomes
     ).collect()
     assert all(r["changed"] == 0 and r["rows"] == 5 for r in report)
 
