@@ -107,6 +107,8 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     rows = recipes.select("row", "doc_id", "text_sha256").join(listed, "row", "left").withColumn("recipe", F.coalesce("recipe", empty))
     rows = materialize(rows, "recipes")
     groups = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("stays"), F.count("*").alias("group_size"))
+    # Written, so that both sides of the join are plain shuffles and a large group can be split.
+    groups = materialize(groups, "groups")
     return rows.join(groups, "recipe").select(
         "doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("stays.row")).alias("kept"), "text_sha256"
     )
