@@ -147,27 +147,30 @@ def _send_counts(wanted, ranges: int, bits: int, width: int):
     return run
 
 
-def _order_sets(about: bytes, owners: np.ndarray, levels: np.ndarray) -> pa.Table:
-    """The sets of a chunk with their tokens from rare to common."""
-    count = int(np.frombuffer(about[:8], np.int64)[0])
-    ids, n = np.frombuffer(about[8 : 8 + 16 * count], np.int64).reshape(2, -1)
-    tokens = np.frombuffer(about[8 + 16 * count :], np.uint64)
-    # A level is that of a token; all places of the token in the chunk have it.
-    _, first, back = np.unique(tokens, return_index=True, return_inverse=True)
-    at_first = np.zeros(len(tokens), np.uint8)
-    at_first[owners] = levels
-    level = at_first[first][back]
-    row = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((tokens, level, row))
-    edges = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)]).tolist()
-    raw = memoryview(tokens[order].tobytes())
-    lists = [bytes(raw[8 * a : 8 * b]) for a, b in zip(edges, edges[1:], strict=False)]
-    alone = np.bincount(row[level == 0], minlength=len(n))
-    central = np.bincount(row, level, minlength=len(n)) / n
-    return pa.table({
-        "doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int32()), "alone": pa.array(alone, pa.int32()),
-        "central": pa.array(central, pa.float64()), "tokens": pa.array(lists, pa.binary()),
-    })
+def _order_sets(bits: int):
+    def run(about: bytes, owners: np.ndarray, levels: np.ndarray) -> pa.Table:
+        """The sets of a chunk with their tokens from rare to common."""
+        count = int(np.frombuffer(about[:8], np.int64)[0])
+        ids, n = np.frombuffer(about[8 : 8 + 16 * count], np.int64).reshape(2, -1)
+        tokens = np.frombuffer(about[8 + 16 * count :], np.uint64)
+        # A level is that of a key; every token of the key has it, in this chunk as in any other.
+        _, first, back = np.unique(tokens >> np.uint64(64 - bits), return_index=True, return_inverse=True)
+        at_first = np.zeros(len(tokens), np.uint8)
+        at_first[owners] = levels
+        level = at_first[first][back]
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((tokens, level, row))
+        edges = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)]).tolist()
+        raw = memoryview(tokens[order].tobytes())
+        lists = [bytes(raw[8 * a : 8 * b]) for a, b in zip(edges, edges[1:], strict=False)]
+        alone = np.bincount(row[level == 0], minlength=len(n))
+        central = np.bincount(row, level, minlength=len(n)) / n
+        return pa.table({
+            "doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int32()), "alone": pa.array(alone, pa.int32()),
+            "central": pa.array(central, pa.float64()), "tokens": pa.array(lists, pa.binary()),
+        })
+
+    return run
 
 
 def _tokens(column) -> list[np.ndarray]:
@@ -238,11 +241,14 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _overlap_possible(percent: int):
-    """Bounds on what two blocks that share a shingle can have in common, by size and position among the common shingles."""
+    """Bounds by size and position if the shared shingle is the first that two sets have in common.
+
+    All that they share then comes from it on, so enough must be left behind it in either.  A pair of sets that
+    links meets at its first common shingle; the meetings at later ones need not be seen.
+    """
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    ahead = F.least("a.place", "b.place")
     behind = F.least(F.col("a.common") - F.col("a.place"), F.col("b.common") - F.col("b.place"))
-    return (small * 100 >= large * percent) & ((ahead + behind) * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
+    return (small * 100 >= large * percent) & (behind * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
 
 
 def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, width: int = WIDTH, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,7 +271,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, width: int =
     wanted = spark.sparkContext.broadcast(document_map(heads.select("head")))
     heads = materialize(alive.join(heads, equal).select("doc_id", "head").distinct(), "heads")
     sent = slim.mapInArrow(_send_counts(wanted, ranges, bits, width), COUNT_SENT)
-    sets = materialize(counted_tokens(sent, _order_sets, SETS), "sets")
+    sets = materialize(counted_tokens(sent, _order_sets(bits), SETS), "sets")
 
     # Clusters: one comparison per set and min-hash, with the most central set that shares it.
     keys = sets.select("doc_id", "alone", "central", "tokens").mapInArrow(_leader_keys, "doc_id long, place int, key long, central double")
