@@ -148,7 +148,7 @@ def calibration_line(
     usable = (F.col("rows") >= min_rows) & (F.col("positives") > 0) & (F.col("positives") < F.col("rows"))
     zero = F.lit(0.0)
     fit = fit.select(
-        *keys, "rows", "positives", F.ln(F.col("positives") / (F.col("rows") - F.col("positives"))).alias("a"), zero.alias("b"),
+        *keys, "rows", "positives", F.when(usable, F.ln(F.col("positives") / (F.col("rows") - F.col("positives")))).alias("a"), zero.alias("b"),
         zero.alias("da"), zero.alias("db"), F.lit(float("-inf")).alias("best"), (~F.coalesce(usable, F.lit(False))).alias("done"),
         F.lit(False).alias("converged"),
     )
