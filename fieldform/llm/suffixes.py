@@ -23,16 +23,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldform.llm.bytesets import BYTE_VALUE, mix, slices, text_buffers
-from fieldform.llm.shared import CHUNK, SENT, chunk_ids, ranges_and_bits, send, shared_owners
+from fieldform.llm.jaccard import _bit, document_map
+from fieldform.llm.shared import SENT, chunk_ids, ranges_and_bits, send, shared_owners
 from fieldform.scale import materialize
 
 LENGTH, GRAM = 100, 32
 #: Suffixes in a bucket on average, and the most that one task gathers.
-BUCKET, GATHER = 1 << 16, 1 << 19
+BUCKET, GATHER = 1 << 15, 1 << 18
+#: Bytes of text looked at together, anchors sent together, suffixes packed together.
+SLICE, CHUNK, PACK = 1 << 18, 1 << 18, 1 << 16
 SPLITTER_DOCUMENTS = 2000
 LAST_ID = (1 << 63) - 1
 _STEP = 0x9E3779B97F4A7C15
@@ -100,7 +105,7 @@ def _send_anchors(ranges: int, bits: int, length: int, gram: int):
 
         for batch in batches:
             data, offsets = text_buffers(batch.column(3))
-            for first, last in slices(offsets):
+            for first, last in slices(offsets, SLICE):
                 own = offsets[first : last + 1] - offsets[first]
                 at, hashes = anchors(data[offsets[first] : offsets[last]], own, length, gram)
                 held.append((hashes, np.diff(np.searchsorted(at, own))))
@@ -166,14 +171,14 @@ def _first_of_equal(around: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def _strings(around: np.ndarray, length: int, reach: int):
     """For each distance before the anchor the hash of the string that starts there."""
-    value, step = BYTE_VALUE[around], _STEP
+    value, step = lambda k: BYTE_VALUE[around[:, k]], _STEP
     inverse, top = pow(step, -1, 2**64), pow(step, length - 1, 2**64)
     h = np.zeros(len(around), np.uint64)
     for k in range(reach, reach + length):
-        h = h * np.uint64(step) + value[:, k]
+        h = h * np.uint64(step) + value(k)
     yield h
     for back in range(1, reach + 1):
-        h = (h - value[:, reach + length - back]) * np.uint64(inverse) + value[:, reach - back] * np.uint64(top)
+        h = (h - value(reach + length - back)) * np.uint64(inverse) + value(reach - back) * np.uint64(top)
         yield h
 
 
@@ -210,17 +215,19 @@ def repeats(around: np.ndarray, room: np.ndarray, order: np.ndarray, length: int
 def _context_rows(splitters: np.ndarray, length: int, gram: int):
     reach = length - gram
 
-    def rows(docs, ties, index, at, room, around):
+    def rows(parts):
+        docs, ties, at, room, around = (np.concatenate(x) for x in zip(*parts, strict=True))
         lead = np.ascontiguousarray(around[:, reach : reach + gram]).view(f"S{gram}").ravel()
         bucket = np.searchsorted(splitters, lead, "right") if len(splitters) else np.zeros(len(lead), np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0)) if len(order) else []
-        out = [[], [], [], [], [], []]
+        # Neighbours in a pack share their leading bytes and squeeze well together.
+        order = np.lexsort((lead, bucket))
+        edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0))
+        out, packer = [[], [], [], [], [], []], zstandard.ZstdCompressor(level=1)
         for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
             take = order[a:b]
             values = (
-                int(bucket[take[0]]), len(take), np.stack([docs[index[take]], ties[index[take]]]).tobytes(), at[take].tobytes(),
-                np.ascontiguousarray(room[take]).tobytes(), np.ascontiguousarray(around[take]).tobytes(),
+                int(bucket[take[0]]), len(take), np.stack([docs[take], ties[take]]).tobytes(), at[take].tobytes(),
+                np.ascontiguousarray(room[take]).tobytes(), packer.compress(np.ascontiguousarray(around[take]).tobytes()),
             )
             for column, value in zip(out, values, strict=True):
                 column.append(value)
@@ -228,26 +235,33 @@ def _context_rows(splitters: np.ndarray, length: int, gram: int):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[c.split()[0] for c in CONTEXTS.split(", ")])
 
     def run(batches):
+        parts, held = [], 0
         for batch in batches:
             docs, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = text_buffers(batch.column(2))
-            for first, last in slices(offsets):
+            for first, last in slices(offsets, SLICE):
                 own = offsets[first : last + 1] - offsets[first]
                 piece = data[offsets[first] : offsets[last]]
                 at, _ = anchors(piece, own, length, gram)
                 starts = np.searchsorted(at, own)
                 wanted = [np.frombuffer(batch.column(3)[first + k].as_py(), np.uint32).astype(np.int64) + starts[k] for k in range(last - first)]
-                index = np.repeat(np.arange(first, last), [len(w) for w in wanted])
+                index = np.repeat(np.arange(last - first), [len(w) for w in wanted])
                 at = at[np.concatenate(wanted)] if wanted else at[:0]
                 if len(at) == 0:
                     continue
-                begin, end = own[index - first], own[index - first + 1]
+                begin, end = own[index], own[index + 1]
                 room = np.stack([np.minimum(at - begin, reach), np.minimum(end - at, length)], axis=1).astype(np.uint8)
                 around = _around(piece, at, reach, length)
                 # Bytes of the neighbours are none of this document's.
                 column = np.arange(reach + length)
                 around = np.where((column >= reach - room[:, :1]) & (column < reach + room[:, 1:].astype(np.int64)), around, 0).astype(np.uint8)
-                yield rows(docs, ties, index, at - begin, room, around)
+                parts.append((docs[first + index], ties[first + index], at - begin, room, around))
+                held += len(at)
+                if held >= PACK:
+                    yield rows(parts)
+                    parts, held = [], 0
+        if parts:
+            yield rows(parts)
 
     return run
 
@@ -256,7 +270,8 @@ def _unpack(row: dict, length: int, reach: int):
     docs, ties = np.frombuffer(row["docs"], np.int64).reshape(2, -1)
     at = np.frombuffer(row["at"], np.int64)
     room = np.frombuffer(row["room"], np.uint8).reshape(-1, 2)
-    return docs, ties, at, room, np.frombuffer(row["around"], np.uint8).reshape(-1, reach + length)
+    around = zstandard.ZstdDecompressor().decompress(row["around"])
+    return docs, ties, at, room, np.frombuffer(around, np.uint8).reshape(-1, reach + length)
 
 
 def _spans(docs, ties, begin, end) -> pa.Table:
@@ -299,25 +314,59 @@ def _all_strings(length: int, reach: int):
     return run
 
 
+def _only(wanted):
+    """Rows of documents that the map holds; a few others may pass."""
+
+    def run(batches):
+        for batch in batches:
+            hit = np.flatnonzero(wanted.value[_bit(batch.column(0).to_numpy())])
+            if len(hit):
+                yield batch.take(pa.array(hit))
+
+    return run
+
+
+SETTLED = "key long, tie long, doc_id long, text string, n_bytes long, whole_sha256 string"
+
+
+def _settle(wanted):
+    """Size and digest of each text; the text itself goes on only for documents that the map holds."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(3))
+            open_ = wanted.value[_bit(batch.column(0).to_numpy())]
+            shas = [None if o else hashlib.sha256(data[a:b].tobytes()).hexdigest() for o, a, b in zip(open_.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            texts = pa.compute.if_else(pa.array(open_), batch.column(3), pa.scalar(None, pa.string()))
+            arrays = [*batch.columns[:3], texts, pa.array(np.diff(offsets)), pa.array(shas, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in SETTLED.split(", ")])
+
+    return run
+
+
 def _cut(length: int):
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             out = []
-            for k, (whole, lists) in enumerate(zip(batch.column("whole").to_pylist(), batch.column("lists").to_pylist(), strict=True)):
+            names = ("whole", "lists", "n_bytes", "whole_sha256")
+            for k, (whole, lists, size, sha) in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
+                if whole and size >= length:
+                    out.append((size, size, 1, hashlib.sha256(b"").hexdigest(), [0, size]))
+                    continue
+                if sha is not None:
+                    out.append((size, 0, 0, sha, []))
+                    continue
                 text = data[offsets[k] : offsets[k + 1]]
                 gone = np.zeros(len(text) + 1, np.int32)
-                if whole and len(text) >= length:
-                    gone[0], gone[-1] = 1, -1
                 for raw in lists or []:
                     begin, end = np.frombuffer(raw, np.int64).reshape(-1, 2).T
                     np.add.at(gone, begin, 1)
                     np.add.at(gone, end, -1)
                 gone = np.cumsum(gone[:-1]) > 0
-                runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                kept = text[~gone].tobytes()
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]))).astype(np.int64)
-                out.append((len(text), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), edge.tolist()))
+                kept = text[~gone].tobytes()
+                out.append((len(text), int(gone.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest(), edge.tolist()))
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
             arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
@@ -339,7 +388,9 @@ def repeated_passages(
     mark = F.md5(F.col("text").cast("binary"))
     key = F.coalesce("doc_id", F.lit(LAST_ID)).alias("key")
     slim = slim.select(key, F.conv(F.substring(mark, 1, 15), 16, 10).cast("long").alias("tie"), mark.alias("mark"), "text", "doc_id")
-    ranges, bits = ranges_and_bits(slim, "text", 0.03)
+    # Four small ranges for each of the usual size: contexts need the memory later on.
+    ranges, bits = ranges_and_bits(slim, "text", 0.12)
+    spark = docs.sparkSession
     sent = slim.select("key", "tie", "mark", "text").mapInArrow(_send_anchors(ranges, bits, length, gram), SENT)
     profile = materialize(shared_owners(sent, _profile, PROFILE), "profile").withColumnRenamed("doc_id", "key")
 
@@ -360,7 +411,9 @@ def repeated_passages(
     leads = np.sort(np.concatenate(leads)) if leads else np.zeros(0, f"S{gram}")
     splitters = np.unique(leads[np.linspace(0, len(leads), buckets, endpoint=False).astype(int)[1:]]) if len(leads) else leads
 
-    texts = slim.select("key", "tie", "text").join(open_docs, ["key", "tie"]).select("key", "tie", "text", "anchors")
+    # Documents without open anchors stay where they are: a bit map of fixed size lets the others through.
+    wanted = spark.sparkContext.broadcast(document_map(open_docs.select("key")))
+    texts = slim.select("key", "tie", "text").mapInArrow(_only(wanted), "key long, tie long, text string").join(open_docs, ["key", "tie"]).select("key", "tie", "text", "anchors")
     contexts = materialize(texts.mapInArrow(_context_rows(splitters, length, gram), CONTEXTS), "contexts")
     sizes = contexts.groupBy("bucket").agg(F.sum("n").alias("size"))
     contexts = contexts.join(sizes.where(F.col("size") > gather).select(F.col("bucket").alias("bucket"), F.lit(True).alias("large")), "bucket", "left")
@@ -374,7 +427,9 @@ def repeated_passages(
     pair = lambda table: _spans(*(table.column(c).to_numpy() for c in ("doc_id", "tie", "start")), table.column("start").to_numpy() + length)
     found = found.union(late.groupBy("doc_id", "tie").applyInArrow(pair, SPANS))
 
-    lists = found.groupBy(F.col("doc_id").alias("key"), "tie").agg(F.collect_list("spans").alias("lists"))
+    lists = materialize(found.groupBy(F.col("doc_id").alias("key"), "tie").agg(F.collect_list("spans").alias("lists")), "spans")
+    cut = spark.sparkContext.broadcast(document_map(lists.select("key")))
     marks = lists.join(copies.withColumn("whole", F.lit(True)), ["key", "tie"], "full")
-    out = slim.select("key", "tie", "text", "doc_id").join(marks, ["key", "tie"], "left").select("doc_id", "text", "whole", "lists")
+    settled = slim.select("key", "tie", "doc_id", "text").mapInArrow(_settle(cut), SETTLED)
+    out = settled.join(marks, ["key", "tie"], "left").select("doc_id", "text", "n_bytes", "whole_sha256", "whole", "lists")
     return out.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>")
