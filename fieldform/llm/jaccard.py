@@ -298,7 +298,10 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, width: int =
     a, b = blocks.alias("a"), blocks.alias("b")
     apart = (F.col("a.lead") < F.col("b.lead")) & (F.col("a.part") != F.col("b.part"))
     meet = (F.col("a.token") == F.col("b.token")) & apart & _overlap_possible(percent)
-    rivals = a.join(b, meet).groupBy(F.col("a.lead").alias("a"), F.col("b.lead").alias("b")).agg(F.max(F.col("a.far") + F.col("b.far")).alias("reach"))
+    block = ("lead", "part", "n", "common", "place", "far")
+    met = a.join(b, meet).select(F.col("a.token").alias("token"), *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in block])
+    met = materialize(met, "met")
+    rivals = met.groupBy(F.col("a_lead").alias("a"), F.col("b_lead").alias("b")).agg(F.max(F.col("a_far") + F.col("b_far")).alias("reach"))
     rivals = materialize(rivals, "rivals")
     measured = compare(rivals, sets, percent).select("a", "b", "linked", "far").join(rivals, ["a", "b"])
     measured = materialize(measured, "measured")
@@ -312,12 +315,18 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, width: int =
     open_pairs = open_pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
     open_pairs = open_pairs.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b", "between")
     open_pairs = materialize(open_pairs, "open")
-    x, y = index.alias("a"), index.alias("b")
-    sides = open_pairs.join(x, F.col("a.lead") == open_pairs["a"]).join(
-        y, (F.col("b.lead") == open_pairs["b"]) & (F.col("a.token") == F.col("b.token")) & _overlap_possible(percent)
-    )
-    sides = sides.where(F.col("between") <= limit + F.col("a.far") + F.col("b.far"))
-    sides = sides.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
+    # Only the blocks that met are unfolded to their members.
+    near = met.join(open_pairs, (F.col("a_lead") == open_pairs["a"]) & (F.col("b_lead") == open_pairs["b"]))
+    near = materialize(near.where(F.col("between") <= limit + F.col("a_far") + F.col("b_far")), "near")
+
+    def members(side: str) -> DataFrame:
+        held = [F.col(c).alias(f"{side}_{c}") for c in block[:-1]]
+        return index.select("token", *held, F.col("doc_id").alias(f"{side}_id"), F.col("far").alias(f"{side}_own"))
+
+    for side in "ab":
+        near = near.join(members(side), ["token", *[f"{side}_{c}" for c in block[:-1]]])
+    sides = near.where(F.col("between") <= limit + F.col("a_own") + F.col("b_own"))
+    sides = sides.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
     more = materialize(compare(sides, sets, percent).where("linked").select("a", "b"), "more")
     if more.take(1):
         found = components(links.union(more))
