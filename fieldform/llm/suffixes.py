@@ -212,17 +212,40 @@ def repeats(around: np.ndarray, room: np.ndarray, order: np.ndarray, length: int
     return low, high
 
 
+#: The bucket of rows that hold stretches found inside a pack, and no suffixes.
+SETTLED_HERE = -1
+
+
+def _known_spans(batches):
+    for batch in batches:
+        for row in batch.select(["docs", "at"]).to_pylist():
+            docs, ties = np.frombuffer(row["docs"], np.int64).reshape(2, -1)
+            begin, end = np.frombuffer(row["at"], np.int64).reshape(2, -1)
+            yield from _spans(docs, ties, begin, end).to_batches()
+
+
 def _context_rows(splitters: np.ndarray, length: int, gram: int):
     reach = length - gram
 
     def rows(parts):
         docs, ties, at, room, around = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # Of equal neighbourhoods in a pack only the first travels; the others repeat it wherever that one ends up.
+        rank = np.empty(len(docs), np.int64)
+        rank[np.lexsort((at, ties, docs))] = np.arange(len(docs))
+        first = _first_of_equal(np.concatenate([around, room], axis=1), rank) == np.arange(len(docs))
+        low, high = np.maximum(length - room[:, 1].astype(np.int64), 0), np.minimum(room[:, 0], reach).astype(np.int64)
+        done = ~first & (low <= high)
+        known = (docs[done], ties[done], (at - high)[done], (at - low + length)[done])
+        docs, ties, at, room, around = (x[first] for x in (docs, ties, at, room, around))
         lead = np.ascontiguousarray(around[:, reach : reach + gram]).view(f"S{gram}").ravel()
         bucket = np.searchsorted(splitters, lead, "right") if len(splitters) else np.zeros(len(lead), np.int64)
         # Neighbours in a pack share their leading bytes and squeeze well together.
         order = np.lexsort((lead, bucket))
         edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0))
         out, packer = [[], [], [], [], [], []], zstandard.ZstdCompressor(level=1)
+        if done.any():
+            for column, value in zip(out, (SETTLED_HERE, 0, np.stack(known[:2]).tobytes(), np.stack(known[2:]).tobytes(), None, None), strict=True):
+                column.append(value)
         for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
             take = order[a:b]
             values = (
@@ -415,6 +438,8 @@ def repeated_passages(
     wanted = spark.sparkContext.broadcast(document_map(open_docs.select("key")))
     texts = slim.select("key", "tie", "text").mapInArrow(_only(wanted), "key long, tie long, text string").join(open_docs, ["key", "tie"]).select("key", "tie", "text", "anchors")
     contexts = materialize(texts.mapInArrow(_context_rows(splitters, length, gram), CONTEXTS), "contexts")
+    settled_here = contexts.where(F.col("bucket") == SETTLED_HERE).mapInArrow(_known_spans, SPANS)
+    contexts = contexts.where(F.col("bucket") != SETTLED_HERE)
     sizes = contexts.groupBy("bucket").agg(F.sum("n").alias("size"))
     contexts = contexts.join(sizes.where(F.col("size") > gather).select(F.col("bucket").alias("bucket"), F.lit(True).alias("large")), "bucket", "left")
     names = [c.split()[0] for c in CONTEXTS.split(", ")]
@@ -425,7 +450,7 @@ def repeated_passages(
     earliest = strings.groupBy("one", "two").agg(F.min(start).alias("first"), F.count("*").alias("n")).where("n > 1").select("one", "two", "first")
     late = strings.join(earliest, ["one", "two"]).where(start > F.col("first")).select("doc_id", "tie", "start").distinct()
     pair = lambda table: _spans(*(table.column(c).to_numpy() for c in ("doc_id", "tie", "start")), table.column("start").to_numpy() + length)
-    found = found.union(late.groupBy("doc_id", "tie").applyInArrow(pair, SPANS))
+    found = found.union(late.groupBy("doc_id", "tie").applyInArrow(pair, SPANS)).union(settled_here)
 
     lists = materialize(found.groupBy(F.col("doc_id").alias("key"), "tie").agg(F.collect_list("spans").alias("lists")), "spans")
     cut = spark.sparkContext.broadcast(document_map(lists.select("key")))
