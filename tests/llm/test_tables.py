@@ -88,7 +88,7 @@ def test_archives_give_the_pages_back(spark, tmp_path):
 
     # One record is read from its own frame.
     wanted = index.where("page_id in (15, 3, 4)")
-    assert counted(fetch_records(index, wanted)) == counted(r for r in out if r.page_id in (15, 3, 4))
+    assert counted(fetch_records(index, wanted).collect()) == counted(r for r in out if r.page_id in (15, 3, 4))
     fs, path = pafs.FileSystem.from_uri(index.first()["bundle"]) if "://" in index.first()["bundle"] else (pafs.LocalFileSystem(), index.first()["bundle"])
     with fs.open_input_file(path) as handle:
         places = warc.frame_places(handle, handle.size())
