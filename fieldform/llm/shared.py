@@ -52,9 +52,11 @@ def _rows(columns: list[list], schema: str, table: bool = False) -> pa.RecordBat
 
 
 def _cuts(keys: np.ndarray, ranges: int, bits: int) -> Iterator[tuple[int, int, int]]:
-    """The ranges that sorted keys fall into: ``(range, first, last)``."""
+    """The ranges that sorted keys fall into: ``(range, first, last)``; none without keys."""
+    if len(keys) == 0:
+        return
     spot = ((keys >> np.uint64(bits - 20)) * np.uint64(ranges)) >> np.uint64(20)
-    edges = np.flatnonzero(np.append(True, spot[1:] != spot[:-1])) if len(spot) else np.zeros(0, np.int64)
+    edges = np.flatnonzero(np.append(True, spot[1:] != spot[:-1]))
     for a, b in zip(edges.tolist(), np.append(edges[1:], len(keys)).tolist(), strict=True):
         yield int(spot[a]), a, b
 

@@ -301,8 +301,11 @@ def _spans(docs, ties, begin, end) -> pa.Table:
     """Rows of ``SPANS``: the stretches of each document."""
     order = np.lexsort((begin, ties, docs))
     docs, ties, pairs = docs[order], ties[order], np.stack([begin[order], end[order]], axis=1)
-    new = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (ties[1:] != ties[:-1]))) if len(docs) else np.zeros(0, np.int64)
-    raw = [pairs[a:b].astype(np.int64).tobytes() for a, b in zip(new, [*new[1:], len(docs)], strict=True)]
+    new = np.ones(len(docs), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (ties[1:] != ties[:-1])
+    new = np.flatnonzero(new)
+    # Anchors may meet without a repeated string among them, which leaves no document.
+    raw = [pairs[a:b].astype(np.int64).tobytes() for a, b in zip(new, np.append(new, len(docs))[1:], strict=True)]
     return pa.table({"doc_id": pa.array(docs[new], pa.int64()), "tie": pa.array(ties[new], pa.int64()), "spans": pa.array(raw, pa.binary())})
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pytest
 
-from fieldform.llm import jaccard, suffixes
+from fieldform.llm import jaccard, shared, suffixes
 from fieldform.llm.common import components, running_total
 from fieldform.llm.exact import chunk_ends, exact_duplicates
 from fieldform.llm.jaccard import jaccard_components
@@ -165,6 +166,28 @@ def test_empty_documents(nothing):
     assert mix_sources(nothing).count() == 0
 
 
+@pytest.mark.parametrize("text", [None, "", " \t\n", "two words", prose(3, 60)[:99]])
+@pytest.mark.parametrize("among", [False, True])
+def test_splits_without_any_feature_to_look_up(spark, text, among):
+    """Splits that hold only such texts send no key; their documents keep their rows, alone or beside other splits."""
+    rows = [(k, text) for k in range(8)]
+    docs = spark.createDataFrame(rows, schema := "doc_id long, text string").repartition(4)
+    if among:
+        more = [(20, prose(1, 300)), (21, prose(1, 300)), (22, prose(2, 50))]
+        rows, docs = rows + more, docs.unionByName(spark.createDataFrame(more, schema).repartition(2))
+    assert sorted((tuple(r) for r in jaccard_components(docs).collect()), key=repr) == jaccard_brute(rows)
+    want = passages_brute(rows)
+    got = repeated_passages(docs).collect()
+    assert counted(r[:5] for r in got) == counted((i, *want[(i, t or "")]) for i, t in rows)
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_chunks_without_keys_still_say_what_they_are_about(ranges):
+    none, owners = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    for rows in (shared.send(3, none, owners, b"about", ranges, 40), shared.send_counts(3, none, b"about", ranges, 40)):
+        assert [(r["chunk"], r["keys"], r["about"]) for r in rows.to_pylist()] == [(3, None, b"about")]
+
+
 def test_components_of_paths_stars_and_cycles(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(200, 201), (201, 202), (202, 200), (300, 300), (200, 201)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
