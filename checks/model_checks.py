@@ -61,17 +61,17 @@ def trees(spark, sf, family, config, **kw):
 
 @check("fit_random_forest", KEYS + "p:f")
 def _(spark, sf):
-    return trees(spark, sf, "random_forest", "RF01", rounds=20)
+    return trees(spark, sf, "random_forest", "RF01")
 
 
 @check("fit_hist_gradient_boosting", KEYS + "p:f")
 def _(spark, sf):
-    return trees(spark, sf, "hist_gradient_boosting", "HGB01", rounds=5)
+    return trees(spark, sf, "hist_gradient_boosting", "HGB01")
 
 
 @check("fit_gradient_boosting_relative", KEYS + "p:f")
 def _(spark, sf):
-    return trees(spark, sf, "xgboost", "XGB01", rounds=5, extras=("relative", "trend", "interaction"))
+    return trees(spark, sf, "xgboost", "XGB01", extras=("relative", "trend", "interaction"))
 
 
 @check("fit_linear_blocks", KEYS + "p:f")
