@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from checks import spec
 from checks.registry import CHECKS
 from fieldform.plans import models
+from fieldform.sources.testtables import table
 
 
 @pytest.mark.parametrize(
@@ -18,3 +21,10 @@ def test_tree_queries_fit_all_rounds(spark, sf, monkeypatch, name, rounds):
     CHECKS[name].build(spark, sf)
     (estimator,) = [models._estimator(r, 1) for r in asked]
     assert estimator.getOrDefault("numTrees" if name == "fit_random_forest" else "maxIter") == rounds
+
+
+def test_consensus_counts_every_order(spark, sf):
+    got = spec.run(CHECKS["consensus_map_all"], spark, sf)
+    orders = table(spark, sf, "orders")
+    assert got.agg(F.sum("evidence")).first()[0] == orders.count()
+    assert got.where("k % 2 = 1").count() > 0
