@@ -14,138 +14,43 @@ rows are documents of their own, an empty table gives no pieces, other columns a
 
 from __future__ import annotations
 
-import os
-import unicodedata
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldform.llm.bytesets import POWER, mix, slices, text_buffers
+from fieldform.llm.bytesets import slices, text_buffers
+from fieldform.llm.words import WordEncoder, added_tokens, byte_level, character_runs, kind_table, load, read_spec
 
 WINDOW = 2048
 # Tokens of padding that a cut is worth: at a document's end, at a sentence's end, inside a sentence.
 AT_DOCUMENT, AT_SENTENCE, INSIDE = 0, 4, 40
 SPACED = 128
 STRETCH = 1 << 21
-KNOWN_WORDS = 1 << 21
-SPECIAL = "<|endoftext|>"
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
-_LETTER, _NUMBER, _SPACE = 1, 2, 3
-_SPACES = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-_classes: list[np.ndarray] = []
-_encoders: dict[str, WordEncoder] = {}
-
-
-def _class_table() -> np.ndarray:
-    """Letter, number, white space or other, for each code point."""
-    if not _classes:
-        kinds = {"L": _LETTER, "N": _NUMBER}
-        table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000)
-        table[list(_SPACES)] = _SPACE
-        _classes.append(table)
-    return _classes[0]
+_encoders: dict[str, tuple] = {}
 
 
-def word_starts(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Where the tokenizer's word pattern starts a word, for all texts laid end to end.
+def word_encoder(path: str, runs) -> tuple:
+    """The tokenizer of a file, its added strings, and an encoder that gives it each distinct word once.
 
-    ``points`` are code points, ``edges`` the starts of the texts and the total length.
+    ``runs`` are the tokenizer's kinds of characters, or None if it does not split by the byte-level pattern:
+    then there is no such encoder, and whole texts are encoded.
     """
-    n = len(points)
-    kind = _class_table()[points]
-    space = kind == _SPACE
-    first = np.zeros(n + 1, bool)
-    first[edges] = True
-    same = np.zeros(n, bool)  # the character before is of the same text
-    same[1:] = True
-    same &= ~first[:n]
-    before_kind, before_blank = np.zeros(n, np.uint8), np.zeros(n, bool)
-    before_kind[1:], before_blank[1:] = kind[:-1], points[:-1] == 32
-    after_word = np.zeros(n, bool)  # the next character is of the same text and no white space
-    after_word[:-1] = ~space[1:] & same[1:]
-    begin = np.where(space, ~same | (before_kind != _SPACE) | after_word, ~same | ((before_kind != kind) & ~before_blank))
-    # 's 't 'm 'd 're 've 'll are words of their own where a word starts with the apostrophe.
-    marks = np.flatnonzero(begin & (points == 39))
-    if len(marks):
-        ahead = np.zeros((len(marks), 3), np.int64)
-        for k in (1, 2, 3):
-            at = np.minimum(marks + k, n - 1)
-            inside = marks + k < n
-            ahead[:, k - 1] = np.where(inside & same[at], points[at], 0)
-        ahead[:, 1] *= ahead[:, 0] > 0
-        one = np.isin(ahead[:, 0], [ord(c) for c in "stmd"])
-        two = np.zeros(len(marks), bool)
-        for a, b in ("re", "ve", "ll"):
-            two |= (ahead[:, 0] == ord(a)) & (ahead[:, 1] == ord(b))
-        size = np.where(one, 1, np.where(two, 2, 0))
-        for mark, length in zip(marks[size > 0].tolist(), size[size > 0].tolist(), strict=True):
-            begin[mark + 1 : mark + 1 + length] = False
-            after = mark + 1 + length
-            if after < n and same[after] and not space[after]:
-                begin[after] = True
-    return np.flatnonzero(begin)
-
-
-class WordEncoder:
-    """Token ids of texts, each distinct word given to the tokenizer once while it is remembered."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.starts, self.ids, self.ends_sentence = np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, bool)
-
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        rows = np.arange(len(found)) + len(self.starts) - 1
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))])
-        ends = np.fromiter((w[-1] in ".!?…。！？" or "\n" in w for w in words), bool, len(words))
-        self.ends_sentence = np.concatenate([self.ends_sentence, ends])
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.rows = np.insert(self.hashes, at, hashes), np.insert(self.rows, at, rows)
+    if path not in _encoders:
+        tokenizer = load(path)
 
-    def encode(self, text: str, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, the id count up to each text's end, and the sentence ends as id counts.
+        def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes
 
-        ``text`` is all texts joined, ``edges`` their starts in code points and the total.
-        """
-        rows = len(edges) - 1
-        if not text:
-            return np.zeros(0, np.uint32), np.zeros(rows, np.int64), np.zeros(0, np.int64)
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        start = word_starts(points, edges)
-        length = np.diff(np.append(start, len(points)))
-        place = np.arange(len(points)) - np.repeat(start, length)
-        value = (points.astype(np.uint64) + np.uint64(1)) * POWER[place % len(POWER)]
-        if int(length.max()) > len(POWER):
-            value *= POWER[place // len(POWER) + 1]
-        hashes = mix(np.add.reduceat(value, start) + length.astype(np.uint64))
-        distinct, sample, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) + len(distinct) > KNOWN_WORDS and len(self.hashes):
-            self._forget()
-        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
-        new = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
-        if new.any():
-            spots = sample[new]
-            self._learn(distinct[new], [text[a : a + n] for a, n in zip(start[spots].tolist(), length[spots].tolist(), strict=True)])
-        row = self.rows[np.searchsorted(self.hashes, distinct)][back]
-        sizes = self.starts[row + 1] - self.starts[row]
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.starts[row] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
-        up_to = np.concatenate([np.zeros(1, np.int64), ends])
-        return ids, up_to[np.searchsorted(start, edges[1:], "left")], ends[self.ends_sentence[row]]
+        added = [*added_tokens(read_spec(path))]
+        _encoders[path] = tokenizer, added, WordEncoder(kind_table(runs), encode_words) if runs else None
+    return _encoders[path]
 
 
 def choose_cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -208,7 +113,7 @@ def window_ends(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int = W
     return np.array(ends, np.int64)
 
 
-def _pack(path: str, window: int, closing: int):
+def _pack(path: str, window: int, closing: int, runs):
     def stretch(ids, doc_ids, doc_ends, sentence_ends, first_sequence):
         ends = window_ends(doc_ends, sentence_ends, window)
         stops = np.union1d(ends, doc_ends)
@@ -228,9 +133,7 @@ def _pack(path: str, window: int, closing: int):
         return batch, len(ends)
 
     def pack(batches):
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
-        encoder = _encoders[path]
+        tokenizer, added, encoder = word_encoder(path, runs)
         sequence = TaskContext.get().partitionId() << 40
         ids, keys, ends, breaks, total = [], [], [], [], 0
         for batch in batches:
@@ -239,8 +142,8 @@ def _pack(path: str, window: int, closing: int):
             for first, last in slices(offsets):
                 texts = [bytes(data[offsets[r] : offsets[r + 1]]).decode() for r in range(first, last)]
                 whole = "".join(texts)
-                if SPECIAL in whole:
-                    got = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                if encoder is None or any(t in whole for t in added):
+                    got = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
                     up_to = np.cumsum([len(g) for g in got])
                     flat, marks = np.array([i for g in got for i in g], np.uint32), np.zeros(0, np.int64)
                 else:
@@ -267,8 +170,10 @@ def _pack(path: str, window: int, closing: int):
 def pack_documents(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, closing: int = 1, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of the packed sequences: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``.
 
-    ``ids`` are little-endian unsigned 32-bit token ids.  ``start`` counts the document's ids before the piece,
+    ``tokenizer`` is the path of a tokenizer file; one that does not split by the byte-level pattern encodes whole
+    texts and has no cuts at sentence ends.  ``ids`` are little-endian unsigned 32-bit token ids.  ``start`` counts the document's ids before the piece,
     ``offset`` the ids before it in its sequence, ``doc_tokens`` all ids of the document with the closing one.
     """
     slim = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(_pack(tokenizer, window, closing), PIECES)
+    runs = character_runs(tokenizer) if byte_level(read_spec(tokenizer)) else None
+    return slim.mapInArrow(_pack(tokenizer, window, closing, runs), PIECES)

@@ -8,11 +8,13 @@ import random
 import numpy as np
 import pytest
 
-from fieldform.llm.packing import AT_DOCUMENT, AT_SENTENCE, INSIDE, SPECIAL, WordEncoder, choose_cuts, pack_documents, window_ends
+from fieldform.llm.packing import AT_DOCUMENT, AT_SENTENCE, INSIDE, choose_cuts, pack_documents, window_ends, word_encoder
 from fieldform.llm.queries import tokenizer_path
+from fieldform.llm.words import byte_level, character_runs, kind_table, read_spec, word_starts
 from tests.llm.helpers import awkward_texts, prose, with_extras
 
 tokenizers = pytest.importorskip("tokenizers")
+SPECIAL = "<|endoftext|>"
 TRICKY = [
     "don't we'll I'm 'sx ''s  'tis  it's\n\n  x  y \n", "", " a", "a ", " \u3000 x  \t\n z", "1a2 b3.4  !!?? …  they'd've 'll 're", "x\r\n\r\ny   ", "漢字かな 12٣４ ² ½ é é 👍🏽",
     "'", "''", " '", " 's", " 'restless x'rex 'veve", "a" * 70_000 + " b", "'r", "x'", "'l l", "\x85\xa0\u2003y",
@@ -29,11 +31,33 @@ def test_words_are_those_of_the_tokenizer(tokenizer):
     signs = "ab 's\n\t.'lrevd1é 漢\u3000—"
     texts = TRICKY + ["".join(draw.choice(signs) for _ in range(draw.randint(1, 30))) for _ in range(3000)]
     edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    ids, up_to, _ = WordEncoder(tokenizer_path()).encode("".join(texts), edges)
+    ids, up_to, _ = word_encoder(tokenizer_path(), character_runs(tokenizer_path()))[2].encode("".join(texts), edges)
     got = [x.tolist() for x in np.split(ids, up_to[:-1])]
     assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_of_every_code_point(tokenizer):
+    kinds, split = kind_table(character_runs(tokenizer_path())), tokenizer.pre_tokenizer.pre_tokenize_str
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 50_000):
+        text = "".join(f"a{c}1{c}{c} {c}'s{c}.{c}\n" for c in map(chr, points[k : k + 50_000]))
+        got = word_starts(np.frombuffer(text.encode("utf-32-le"), np.uint32), np.array([0, len(text)]), kinds)
+        assert got.tolist() == [a for _, (a, _) in split(text)]
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert not byte_level(read_spec(path)) and byte_level(read_spec(tokenizer_path()))
+    rows = [(k, prose(k, 40 * k)) for k in range(6)]
+    out = pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path).orderBy("doc_id", "start").collect()
+    other = tokenizers.Tokenizer.from_file(path)
+    for i, text in rows:
+        ids = np.frombuffer(b"".join(bytes(r.ids) for r in out if r.doc_id == i), "<u4").tolist()
+        assert ids == [*other.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_cuts_are_the_cheapest():
     draw = random.Random(1)
     for _ in range(200):
