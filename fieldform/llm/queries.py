@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldform.llm.bpe import decode_ids, encode_documents
 from fieldform.llm.chat import BREAK, CLOSE, OPEN, format_chats, read_back, text_part
 from fieldform.llm.common import LOWER, UPPER, table
 from fieldform.llm.exact import exact_duplicates
 from fieldform.llm.jaccard import jaccard_components
 from fieldform.llm.mixing import mix_sources
+from fieldform.llm.negatives import hard_negatives
 from fieldform.llm.packing import pack_documents
 from fieldform.llm.pivots import exact_top_k
+from fieldform.llm.resampling import resample
 from fieldform.llm.suffixes import repeated_passages
 from fieldform.llm.toxicity import severity
 from fieldform.llm.urls import judge_urls, pattern_rule, site_rule
@@ -170,15 +173,81 @@ SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, CAST(length(loss) AS BIG
        CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
 """
 
+
+def op11_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decode_ids(encoded, tokenizer_path()).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _features(source: str, key: str) -> str:
+    """``id, feature, n``: the words and pairs of neighbouring words of a table's texts."""
+    words = f"regexp_extract_all(translate(COALESCE(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""(SELECT id, feature, count(*) AS n FROM (
+        SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature
+        FROM (SELECT {key} AS id, {words} AS w FROM {source})) GROUP BY id, feature)"""
+
+
+#: The CRC of each distinct feature is folded bit by bit; 3988292384 is the reversed polynomial.
+RESAMPLE_SQL = f"""
+WITH d AS MATERIALIZED {_features("documents", "doc_id")},
+b AS MATERIALIZED {_features("benchmark", "item_id")},
+x AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT feature FROM d UNION SELECT feature FROM b)),
+c AS MATERIALIZED (SELECT feature, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(0, len(h) // 2),
+        lambda i: list_transform(range(0, 8), lambda k: ((instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1) >> k & 1)))),
+        lambda a, bit: xor(a >> 1, (xor(a, bit) & 1) * 3988292384))) % 10000 AS bucket FROM x),
+s AS (SELECT bucket, SUM(n) AS n FROM d JOIN c USING (feature) GROUP BY bucket),
+t AS (SELECT bucket, SUM(n) AS n FROM b JOIN c USING (feature) GROUP BY bucket),
+g AS (SELECT k.bucket, CAST(floor(1000 * ln((COALESCE(t.n, 0) + 1)::DOUBLE * ((SELECT COALESCE(SUM(n), 0) FROM s) + 10000)::DOUBLE
+          / ((COALESCE(s.n, 0) + 1)::DOUBLE * ((SELECT COALESCE(SUM(n), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+      FROM (SELECT unnest(range(0, 10000)) AS bucket) k LEFT JOIN s ON s.bucket = k.bucket LEFT JOIN t ON t.bucket = k.bucket),
+w AS (SELECT id, CAST(SUM(n) AS BIGINT) AS n_features, CAST(floor(SUM(n * gain)::DOUBLE / SUM(n)) AS BIGINT) AS weight
+      FROM d JOIN c USING (feature) JOIN g USING (bucket) GROUP BY id),
+o AS (SELECT doc_id, COALESCE(n_features, 0) AS n_features, COALESCE(weight, 0) AS weight,
+             COALESCE(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || sha256('7:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+      FROM documents LEFT JOIN w ON w.id = doc_id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM o WHERE n_features >= 39
+      QUALIFY rank <= (SELECT 25 * count(*) // 100 FROM o WHERE n_features >= 39))
+SELECT o.*, r.rank FROM o LEFT JOIN r USING (doc_id)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_source_mix, op3_suffix_dedup, op4_ordinal_toxicity, op5_pivot_top_k, op6_chunk_recipes, op7_url_rules, op8_seekable_warc, op9_order_preserving_packing, op10_chat_parts, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_source_mix, op3_suffix_dedup, op4_ordinal_toxicity, op5_pivot_top_k, op6_chunk_recipes, op7_url_rules, op8_seekable_warc, op9_order_preserving_packing, op10_chat_parts, op11_pair_index_bpe, op12_hard_negatives, op13_importance_resampling, pipeline)}
 
 ORACLES = {
     "op2_source_mix": MIX_SQL, "op5_pivot_top_k": TOP_K_SQL, "op6_chunk_recipes": EXACT_SQL, "op7_url_rules": URL_SQL,
-    "op8_seekable_warc": WARC_SQL, "op10_chat_parts": CHAT_SQL,
+    "op8_seekable_warc": WARC_SQL, "op10_chat_parts": CHAT_SQL, "op12_hard_negatives": NEGATIVES_SQL, "op13_importance_resampling": RESAMPLE_SQL,
 }
