@@ -28,7 +28,7 @@ from fieldform.llm.bytesets import slices, text_buffers
 from fieldform.llm.words import Split, WordEncoder, added_tokens, byte_level, character_runs, kind_table, read_spec
 
 #: Bytes of text whose new words are merged together.
-TOGETHER = 1 << 24
+TOGETHER = 1 << 23
 
 ENCODED = "doc_id long, ids array<int>"
 _vocabularies: dict[str, Vocabulary] = {}
