@@ -132,6 +132,66 @@ def select_one_se(losses: DataFrame, incumbent: str | None, k: float = 1.0) -> t
     return table, decision
 
 
+def grouped_scores(losses: DataFrame, by: Sequence[str], k: float = 1.0) -> DataFrame:
+    """``score_table`` of every group of ``by`` at once, with the point-best candidate of the group."""
+    if k < 0:
+        raise ValueError("k must not be negative")
+    keys = names(by)
+    losses = materialize(losses, "losses")
+    scores = candidate_scores(losses, (*keys, "candidate"))
+    order = F.struct("macro_brier", "macro_log_loss", "candidate")
+    best = scores.groupBy(*keys).agg(F.min_by("candidate", order).alias("point_best"))
+    scores = scores.join(best, keys)
+    # One row per group and contest: far fewer than entries, and each group has one reference.
+    ref = losses.join(best, keys).filter("candidate = point_best").select(
+        *keys, CONTEST, "block", F.col("brier").alias("_rb"), F.col("log_loss").alias("_rl")
+    )
+    gaps = losses.join(ref, [*keys, CONTEST, "block"]).select(
+        *keys, "candidate", "block", (F.col("brier") - F.col("_rb")).alias("brier"), (F.col("log_loss") - F.col("_rl")).alias("log_loss")
+    )
+    stats = clustered_mean_se(gaps, ["brier", "log_loss"], "block", [*keys, "candidate"]).withColumnsRenamed(
+        {"mean_brier": "mean_brier_delta", "se_brier": "se_brier_delta", "mean_log_loss": "mean_log_loss_delta", "se_log_loss": "se_log_loss_delta"}
+    )
+    expected = scores.groupBy(*keys).agg(F.min("contests").alias("_least"), F.max("contests").alias("_most"))
+    out = scores.join(expected, keys).join(stats, [*keys, "candidate"], "left")
+    covered = F.when((F.col("_least") == F.col("_most")) & (F.col("n") == F.col("contests")), F.col("mean_brier_delta")).otherwise(
+        F.raise_error(F.lit("candidates must cover identical contests")).cast("double")
+    )
+    return (
+        out.withColumn("mean_brier_delta", covered)
+        .drop("n", "_least", "_most")
+        .withColumn("is_best", F.col("candidate") == F.col("point_best"))
+        .withColumn("within_brier", within("mean_brier_delta", "se_brier_delta", k))
+        .withColumn("within_log_loss", within("mean_log_loss_delta", "se_log_loss_delta", k))
+    )
+
+
+def grouped_gate(losses: DataFrame, by: Sequence[str], incumbents: DataFrame, k: float = 1.0) -> DataFrame:
+    """One decision per group: the incumbent while it lies within k standard errors of the best, else the best.
+
+    ``incumbents`` has one row (``by``..., incumbent) for each group; an incumbent that is no candidate fails the job.
+    """
+    keys = names(by)
+    table = grouped_scores(losses, keys, k).join(incumbents, keys)
+    own = F.col("candidate") == F.col("incumbent")
+    decided = table.groupBy(*keys, "incumbent", "point_best").agg(
+        F.max(F.when(own, F.col("within_brier"))).alias("incumbent_retained"), F.first("contests").alias("contests"),
+        F.max(F.when(own, F.col("mean_brier_delta"))).alias("mean_brier_delta"), F.max(F.when(own, F.col("se_brier_delta"))).alias("se_brier_delta"),
+    )
+    failed = F.raise_error(F.lit("the incumbent is not among the candidates")).cast("string")
+    winner = F.when(F.col("incumbent_retained"), F.col("incumbent")).when(~F.col("incumbent_retained"), F.col("point_best")).otherwise(failed)
+    return decided.withColumn("winner", winner)
+
+
+def grouped_simplest(losses: DataFrame, by: Sequence[str], complexity: DataFrame) -> DataFrame:
+    """``select_simplest_one_se`` for every group of ``by`` at once; ``complexity`` ranks the candidates."""
+    keys = names(by)
+    table = grouped_scores(losses, keys).join(complexity, "candidate")
+    order = F.when(F.col("within_brier"), F.struct("complexity_rank", "macro_brier", "macro_log_loss", "candidate"))
+    chosen = table.groupBy(*keys).agg(F.min(order).alias("_first")).select(*keys, F.col("_first.candidate").alias("selected"))
+    return table.join(chosen, keys).withColumn("is_selected", F.col("candidate") == F.col("selected")).drop("selected")
+
+
 def select_simplest_one_se(losses: DataFrame, complexity: DataFrame) -> DataFrame:
     """Among candidates within one standard error of the best, the least complex one."""
     table = score_table(materialize(losses, "losses")).join(complexity, "candidate")

@@ -181,7 +181,7 @@ def feature_stages(
 # --- fits -----------------------------------------------------------------------------
 
 
-def _estimator(recipe: Recipe, rows: int):
+def estimator(recipe: Recipe, rows: int):
     cfg = dict(recipe.config)
     common = {"featuresCol": "features", "labelCol": "y"}
     if recipe.family == "linear":
@@ -216,7 +216,7 @@ def fit(recipe: Recipe, train: DataFrame, panel: DataFrame) -> Fitted:
     data = data.select("contest_id", "subject_id", "y", *numeric, *categorical).persist()
     try:
         stages = feature_stages(data, numeric, categorical, scale=recipe.family == "linear").getStages()
-        model = Pipeline(stages=[*stages, _estimator(recipe, facts["n"])]).fit(data)
+        model = Pipeline(stages=[*stages, estimator(recipe, facts["n"])]).fit(data)
     finally:
         data.unpersist()
     return Fitted(recipe, float(facts["m"]), str(facts["d"]), model)

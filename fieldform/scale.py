@@ -51,6 +51,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file system of ``path`` has it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop))
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write once, read back: later readers share the result and survive lost executors."""
     path = new_folder(df.sparkSession, name)

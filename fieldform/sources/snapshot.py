@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fieldform.contracts import ContractError
 from fieldform.operators.joins import key_difference, repeated_keys, table_diff
 from fieldform.operators.quality import complete_through
+from fieldform.scale import exists as _exists
 from fieldform.scale import materialize
 from fieldform.sources.fingerprint import row_fingerprint
 
@@ -23,11 +24,6 @@ CONTEST, SUBJECT = "contest_id", "subject_id"
 TABLES = ("history", "audit", "ledger")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop))
-
-
 def _digest(df: DataFrame) -> tuple[int, str]:
     row = row_fingerprint(df, sorted(df.columns)).first()
     return (int(row["rows"]), str(row["fingerprint"]))
