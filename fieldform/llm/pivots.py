@@ -1,20 +1,26 @@
 """Exact top-k by inner product, with candidates ruled out by a table of distances to pivots.
 
-Vectors become whole numbers, so scores are exact.  For a pivot p, ``|d(q,p) - d(c,p)|`` is a
-lower bound of ``d(q,c)``; the largest over all pivots bounds the inner product from above
-through ``(|q|^2 + |c|^2 - d^2) / 2``.  Candidates of a block are taken in the order of that
-bound, and a query is done with the block as soon as its k-th best score beats the next bound.
-
-The pivots are fitted on a bounded sample (``PIVOT_SAMPLE`` vectors, farthest first); every
-vector is in the table and every query meets every block.  Blocks hold ``BLOCK`` vectors whatever
-their values, so repeated vectors do not pile up in one task.  Vectors that are null or hold a
-null or non-finite component take no part; vectors of different length are not compared.  Ids
-that repeat are vectors of their own (all of them are left out for a query of that id); null ids
-take no part.  Scores are exact below 2**53.
+Vectors become whole numbers, so scores are exact.  For a pivot p, ``|d(q,p) - d(c,p)|`` is a lower bound of
+``d(q,c)``; the largest over all pivots bounds the inner product from above through ``(|q|^2 + |c|^2 - d^2) / 2``
+(with the origin among the pivots never above ``|q||c|``).  The candidates of a block lie in cells of near
+distances to their nearest pivot, and a cell keeps the range of its distances to every pivot, so one bound serves all
+its candidates.  Cells are scored in the order of their bounds, and a query is done with a block as soon as no
+bound left reaches its k-th best score.  That score starts as the k-th best of the query's exact scores with the pivot
+sample, whose vectors are candidates themselves, so weak cells fall without being scored at all.
+
+The pivots are fitted on a bounded sample (``PIVOT_SAMPLE`` vectors of each length, farthest first; about as many as
+the root of the number of vectors, ``MOST_PIVOTS`` at most); every vector is in the table and every query meets every
+block.  Blocks hold about ``BLOCK`` vectors whatever their values, so repeated vectors do not pile up in one task.
+Vectors that are null or hold a null or non-finite component take no part; vectors of different length are not
+compared.  Rows that repeat an id or a vector are vectors of their own: a query leaves out its own row only, and two query
+rows of one id have a list each.  Null ids take no part.  Ties go to the smaller id.  An empty table, or one without
+queries, gives no rows; other columns are ignored.  Scores are exact below 2**53.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,24 +29,28 @@ from pyspark.sql.window import Window
 
 from fieldform.scale import materialize
 
-PIVOTS, PIVOT_SAMPLE = 24, 2048
-BLOCK, QUERIES, STEP = 4096, 256, 128
+PIVOT_SAMPLE, MOST_PIVOTS = 2048, 256
+BLOCK, QUERIES, TOGETHER = 16384, 512, 128
+CELL, FIRST_CELLS = 64, 8
 SLACK = 1e-6
+TASKS = 1 << 14
 
-BLOCKS = "dim int, block int, ids binary, vectors binary, pivots binary"
+BLOCKS = "dim int, block int, kind string, rows binary, ids binary, vectors binary, starts binary, near binary, far binary, norms binary"
+ASKED = "dim int, asked int, kind string, rows binary, ids binary, vectors binary, least binary"
 
 
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
-    """Farthest-first pivots, starting from the vector farthest from the mean."""
+    """The origin, and farthest-first pivots from the vector farthest from the mean on."""
+    origin = np.zeros((1, sample.shape[1]))
     if len(sample) == 0:
-        return sample
+        return origin
     gap = ((sample - sample.mean(axis=0)) ** 2).sum(axis=1)
     chosen = [int(gap.argmax())]
     gap = ((sample - sample[chosen[0]]) ** 2).sum(axis=1)
     while len(chosen) < min(count, len(sample)) and gap.max() > 0:
         chosen.append(int(gap.argmax()))
         gap = np.minimum(gap, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
-    return sample[chosen]
+    return np.concatenate([origin, sample[chosen]])
 
 
 def distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -49,62 +59,130 @@ def distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
-def _pack(pivots: dict[int, np.ndarray]):
+def cells_of(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the vectors by cells, and of each cell its start, nearest and farthest distances and largest square norm."""
+    table = distances(vectors, pivots)
+    home = table[:, 1:].argmin(axis=1) if table.shape[1] > 1 else np.zeros(len(table), np.int64)
+    reach = table[np.arange(len(table)), home + (table.shape[1] > 1)]
+    order = np.lexsort((reach, home))
+    first = np.flatnonzero(np.append(True, np.diff(home[order]) != 0))
+    starts = np.concatenate([np.arange(a, b, CELL) for a, b in zip(first, np.append(first[1:], len(order)), strict=True)])
+    table = table[order].astype(np.float32)
+    norms = np.maximum.reduceat((vectors[order] ** 2).sum(axis=1), starts)
+    return order, starts, np.minimum.reduceat(table, starts), np.maximum.reduceat(table, starts), norms
+
+
+def bounds_of(table: np.ndarray, q_norms: np.ndarray, near: np.ndarray, far: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Upper bounds (queries x cells) of the inner products of each query with all vectors of a cell."""
+    gap = np.zeros((len(table), len(near)), np.float32)
+    for p in range(table.shape[1]):
+        own = table[:, p, None]
+        np.maximum(gap, near[None, :, p] - own, out=gap)
+        np.maximum(gap, own - far[None, :, p], out=gap)
+    # Rounding of distances may raise a gap a little above the truth; the slack undoes it.
+    low = np.maximum(gap.astype(np.float64) * (1 - SLACK) - SLACK * (1 + table.max(axis=1, initial=0)[:, None] + far.max(initial=0)), 0)
+    return (q_norms[:, None] + norms[None, :] - low**2) / 2 + 0.5
+
+
+def kth_best(scores: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th largest of each row, or -inf."""
+    if scores.shape[1] < k:
+        return np.full(len(scores), -np.inf)
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+
+
+def best_of_block(rows, ids, vectors, starts, near, far, norms, q_rows, q_vectors, q_table, least, k) -> tuple[list[np.ndarray], int]:
+    """For each query the places of its best candidates with their scores, and the number of pairs that were scored."""
+    out, scored = [], 0
+    ends = np.append(starts[1:], len(rows))
+    by_row = np.argsort(rows)
+    for at in range(0, len(q_rows), TOGETHER):
+        some = slice(at, at + TOGETHER)
+        queries, enough = q_vectors[some], least[some].copy()
+        bounds = bounds_of(q_table[some], (queries**2).sum(axis=1), near, far, norms)
+        place = np.argsort(np.argsort(-bounds, axis=1, kind="stable"), axis=1)
+        scores = np.full((len(queries), len(rows)), -np.inf)
+        own = np.minimum(np.searchsorted(rows, q_rows[some], sorter=by_row), len(rows) - 1)
+        held = rows[by_row[own]] == q_rows[some]
+        for low, high in ((0, FIRST_CELLS), (FIRST_CELLS, len(starts))):
+            open_ = (place >= low) & (place < high) & (bounds >= enough[:, None])
+            for cell in np.flatnonzero(open_.any(axis=0)).tolist():
+                who = np.flatnonzero(open_[:, cell])
+                a, b = starts[cell], ends[cell]
+                scores[who, a:b] = queries[who] @ vectors[a:b].T
+                scored += len(who) * int(b - a)
+            scores[np.flatnonzero(held), by_row[own[held]]] = -np.inf
+            enough = np.maximum(enough, kth_best(scores, k))
+        for q in range(len(queries)):
+            keep = np.flatnonzero(scores[q] >= max(enough[q], -1e300))
+            order = np.lexsort((rows[keep], ids[keep], -scores[q, keep]))[:k]
+            out.append((keep[order], scores[q, keep[order]]))
+    return out, scored
+
+
+def _vectors(group: pa.Table, dim: int) -> np.ndarray:
+    return np.array(group.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(group.num_rows, dim)
+
+
+def _narrow(vectors: np.ndarray) -> np.ndarray:
+    most = np.abs(vectors).max(initial=0)
+    return vectors.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.float64)
+
+
+def _table(values: list, schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    named = [c.split() for c in schema.split(", ")]
+    return pa.table({n: pa.array([v], kinds[t]) for v, (n, t) in zip(values, named, strict=True)})
+
+
+def _ids(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(group.column(c).to_numpy().astype(np.int64) for c in ("row", "vec_id"))
+
+
+def _pack_block(fitted: dict):
     def pack(group: pa.Table) -> pa.Table:
         dim, block = group.column("dim")[0].as_py(), group.column("block")[0].as_py()
-        ids = group.column("vec_id").to_numpy().astype(np.int64)
-        vectors = np.array(group.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), dim)
-        order = np.argsort(ids, kind="stable")
-        ids, vectors = ids[order], vectors[order]
-        table = distances(vectors, pivots[dim])
-        return pa.table({
-            "dim": pa.array([dim], pa.int32()), "block": pa.array([block], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()),
-            "vectors": pa.array([vectors.tobytes()], pa.binary()), "pivots": pa.array([table.astype(np.float32).tobytes()], pa.binary()),
-        })
+        (rows, ids), vectors = _ids(group), _vectors(group, dim)
+        order, starts, near, far, norms = cells_of(vectors, fitted[dim][1])
+        own = _narrow(vectors[order])
+        parts = (rows[order], ids[order], own, starts.astype(np.int64), near, far, norms)
+        return _table([dim, block, own.dtype.str, *(x.tobytes() for x in parts)], BLOCKS)
 
     return pack
 
 
-def best_of_block(ids, vectors, table, q_ids, q_vectors, q_table, k) -> list[tuple[int, int, int]]:
-    """The ``k`` best ``(query, id, score)`` of one block for each query, ties to the smaller id."""
-    norms, q_norms = (vectors**2).sum(axis=1), (q_vectors**2).sum(axis=1)
-    gap = np.zeros((len(q_ids), len(ids)), np.float32)
-    for p in range(table.shape[1]):
-        np.maximum(gap, np.abs(q_table[:, p, None] - table[None, :, p]), out=gap)
-    # Rounding in the table may raise a bound a little above the truth; the slack undoes it.
-    low = np.maximum(gap * (1 - SLACK) - SLACK * (1 + q_table.max(initial=0)), 0)
-    bounds = (q_norms[:, None] + norms[None, :] - low.astype(np.float64) ** 2) / 2 + 0.5
-    out = []
-    for q in range(len(q_ids)):
-        order = np.argsort(-bounds[q], kind="stable")
-        order = order[ids[order] != q_ids[q]]
-        best_id, best_score = np.zeros(0, np.int64), np.zeros(0, np.float64)
-        for at in range(0, len(order), STEP):
-            if len(best_id) == k and best_score[-1] > bounds[q][order[at]]:
-                break
-            take = order[at : at + STEP]
-            best_id = np.concatenate([best_id, ids[take]])
-            best_score = np.concatenate([best_score, vectors[take] @ q_vectors[q]])
-            keep = np.lexsort((best_id, -best_score))[:k]
-            best_id, best_score = best_id[keep], best_score[keep]
-        out += [(int(q_ids[q]), int(i), int(s)) for i, s in zip(best_id, best_score, strict=True)]
-    return out
-
-
-def _search(k: int, dims: dict[int, int]):
-    def unpack(dim, ids, vectors, table):
-        i = np.frombuffer(ids, np.int64)
-        return i, np.frombuffer(vectors, np.float64).reshape(len(i), dim), np.frombuffer(table, np.float32).reshape(len(i), dims[dim])
+def _pack_asked(fitted: dict, k: int):
+    def pack(group: pa.Table) -> pa.Table:
+        dim, asked = group.column("dim")[0].as_py(), group.column("asked")[0].as_py()
+        (rows, ids), vectors = _ids(group), _vectors(group, dim)
+        sample_rows, _, sample = fitted[dim]
+        scores = vectors @ sample.T
+        scores[rows[:, None] == sample_rows[None, :]] = -np.inf
+        own = _narrow(vectors)
+        return _table([dim, asked, own.dtype.str, *(x.tobytes() for x in (rows, ids, own, kth_best(scores, k)))], ASKED)
+
+    return pack
+
+
+def _search(k: int, pivots: dict[int, np.ndarray]):
+    def vectors(raw, kind, count, dim):
+        return np.frombuffer(raw, kind).reshape(count, dim).astype(np.float64)
 
     def search(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, vectors, table = unpack(row["dim"], row["ids"], row["vectors"], row["pivots"])
-                own = unpack(row["dim"], row["q_ids"], row["q_vectors"], row["q_pivots"])
-                found = best_of_block(ids, vectors, table, *own, k)
-                if found:
-                    a, b, c = (pa.array(x, pa.int64()) for x in zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([a, b, c], names=["query_id", "vec_id", "score"])
+            for r in batch.to_pylist():
+                rows, ids, starts = (np.frombuffer(r[c], np.int64) for c in ("rows", "ids", "starts"))
+                near, far = (np.frombuffer(r[c], np.float32).reshape(len(starts), -1) for c in ("near", "far"))
+                q_rows, q_ids = (np.frombuffer(r[c], np.int64) for c in ("a_rows", "a_ids"))
+                asked = vectors(r["a_vectors"], r["a_kind"], len(q_rows), r["dim"])
+                table = distances(asked, pivots[r["dim"]]).astype(np.float32)
+                own = vectors(r["vectors"], r["kind"], len(rows), r["dim"])
+                found, _ = best_of_block(rows, ids, own, starts, near, far, np.frombuffer(r["norms"]), q_rows, asked, table, np.frombuffer(r["a_least"]), k)
+                at = np.repeat(np.arange(len(found)), [len(p) for p, _ in found])
+                places = np.concatenate([p for p, _ in found])
+                scores = np.concatenate([s for _, s in found]).astype(np.int64)
+                columns = (q_rows[at], q_ids[at], rows[places], ids[places], scores)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_row", "query_id", "row", "vec_id", "score"])
 
     return search
 
@@ -114,44 +192,40 @@ def exact_top_k(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` largest inner products of each query.
 
-    ``is_query`` is a condition on ``vec_id``; candidates are all rows with another id.
+    ``is_query`` is a condition on ``vec_id``; candidates are all rows but the query's own.
     """
     whole = F.transform(F.col(vector).cast("array<double>"), lambda x: F.floor(x * F.lit(scale)).cast("double"))
     fit = F.col(vector).isNotNull() & F.forall(
         F.col(vector).cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
     )
-    rows = vectors.where(fit & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("vec_id"), whole.alias("vector"))
+    rows = vectors.where(fit & F.col(id).isNotNull()).select(
+        F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("vec_id"), whole.alias("vector")
+    )
     rows = materialize(rows.withColumn("dim", F.size("vector")), "vectors")
-    draw = F.xxhash64("vec_id", "vector")
-    counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    pivots = {}
-    for dim in counts:
-        sample = rows.where(F.col("dim") == dim).orderBy(draw, "vec_id").limit(PIVOT_SAMPLE).select("vector").collect()
-        pivots[dim] = choose_pivots(np.array([r[0] for r in sample], np.float64).reshape(len(sample), dim), PIVOTS)
-    cells = {d: max(1, -(-n // BLOCK)) for d, n in counts.items()}
-
-    def packed(df, many):
-        held = F.lit(1)
-        for dim, n in many.items():
-            held = F.when(F.col("dim") == dim, F.lit(n)).otherwise(held)
-        block = F.pmod(F.xxhash64("vec_id", F.lit(7)), held).cast("int")
-        return materialize(df.withColumn("block", block).groupBy("dim", "block").applyInArrow(_pack(pivots), BLOCKS), "blocks")
-
-    blocks = packed(rows, cells)
     asked = rows.where(is_query)
-    asking = {r["dim"]: max(1, -(-r["n"] // QUERIES)) for r in asked.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    queries = packed(asked, asking)
-    spread = F.lit(0)
-    for dim, n in cells.items():
-        spread = F.when(F.col("dim") == dim, F.lit(n)).otherwise(spread)
-    # Each block of queries visits each block of candidates of its length.
-    queries = queries.select(
-        "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("pivots").alias("q_pivots"),
-        F.explode(F.sequence(F.lit(0), spread - 1)).alias("block"), F.col("block").alias("q_block"),
-    )
-    pairs = queries.join(blocks, ["dim", "block"]).repartition("dim", "block", "q_block").drop("q_block")
-    schema = "query_id long, vec_id long, score long"
-    found = pairs.mapInArrow(_search(k, {d: len(p) for d, p in pivots.items()}), schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    total, queries = rows.count(), asked.count()
+    spread, packs = max(1, -(-total // BLOCK)), max(1, -(-queries // QUERIES))
+
+    drawn = Window.partitionBy("dim").orderBy(F.xxhash64("row", F.lit(3)), "row")
+    sample = rows.withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= PIVOT_SAMPLE).select("dim", "row", "vector")
+    found = defaultdict(list)
+    for r in sample.collect():  # at most PIVOT_SAMPLE vectors of each length
+        found[r["dim"]].append((r["row"], r["vector"]))
+    fitted, count = {}, min(MOST_PIVOTS, int(total**0.5) + 1)
+    for dim, some in found.items():
+        own = np.array([v for _, v in some], np.float64).reshape(len(some), dim)
+        fitted[dim] = np.array([r for r, _ in some], np.int64), choose_pivots(own, count), own
+
+    cut = lambda n: F.pmod(F.xxhash64("row", F.lit(7)), F.lit(n)).cast("int")
+    blocks = rows.withColumn("block", cut(spread)).groupBy("dim", "block").applyInArrow(_pack_block(fitted), BLOCKS)
+    many = asked.withColumn("asked", cut(packs)).groupBy("dim", "asked").applyInArrow(_pack_asked(fitted, k), ASKED)
+    many = many.select("dim", "asked", *[F.col(c).alias(f"a_{c}") for c in ("kind", "rows", "ids", "vectors", "least")], F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("block"))
+    each = blocks.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+    # Each pack of queries meets each block of candidates of its length, one pair a row.
+    key, tasks = ["dim", "block", "asked"], min(TASKS, packs * spread)
+    pairs = many.repartition(tasks, *key).join(each.repartition(tasks, *key), key)
+    schema = "query_row long, query_id long, row long, vec_id long, score long"
+    best = pairs.mapInArrow(_search(k, {d: pivots for d, (_, pivots, _) in fitted.items()}), schema)
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     # At most k rows per query and block reach the ranking.
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

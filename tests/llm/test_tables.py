@@ -141,22 +141,45 @@ def test_parts_become_placeholders(spark):
     assert read_back(out).first().loss_text == "yes"
 
 
-@pytest.mark.parametrize("blocks", [(4096, 256, 128), (7, 3, 5)])
-def test_top_k_agrees_with_all_scores(spark, monkeypatch, blocks):
-    for name, value in zip(("BLOCK", "QUERIES", "STEP"), blocks, strict=True):
+@pytest.mark.parametrize("sizes", [(16384, 512, 128, 64), (40, 4, 3, 5)])
+def test_top_k_agrees_with_all_scores(spark, monkeypatch, sizes):
+    for name, value in zip(("BLOCK", "QUERIES", "TOGETHER", "CELL"), sizes, strict=True):
         monkeypatch.setattr(pivots, name, value)
     draw = random.Random(3)
     rows = [(k, [draw.gauss(0, 0.3) for _ in range(8)]) for k in range(150)] + [(1000 + k, [0.5] * 8) for k in range(60)]
     rows += [(300, None), (301, [1.0, None] + [0.0] * 6), (302, [float("nan")] * 8), (303, [float("inf")] + [0.0] * 7), (None, [0.1] * 8), (320, [0.25, 0.5]), (340, [1.0, -1.0]), (400, []), (7, [0.9] * 8)]
+    # Query ids that repeat, with another vector and with the same one.
+    rows += [(40, [0.7] * 8), (60, rows[60][1]), (60, rows[60][1]), (500, [1e6] * 8), (400, [])]
     got = counted(exact_top_k(with_extras(spark, rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 5).collect())
     fit = [(i, np.floor(64 * np.array(v))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, v in fit:
+    for n, (q, v) in enumerate(fit):
         if q % 20 == 0:
-            scored = sorted((-int(v @ w), i) for i, w in fit if i != q and len(w) == len(v))[:5]
+            scored = sorted((-int(v @ w), i) for m, (i, w) in enumerate(fit) if m != n and len(w) == len(v))[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
     assert got == counted(want)
     assert exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
+    assert exact_top_k(spark.createDataFrame([(1, [0.5])], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_bounds_hold_and_rule_cells_out():
+    """No score is above its cell's bound; of vectors in clusters most pairs are never scored."""
+    draw = np.random.default_rng(5)
+    centres = draw.integers(-400, 400, (40, 16))
+    vectors = (centres[draw.integers(0, 40, 4000)] + draw.integers(-6, 7, (4000, 16))).astype(np.float64)
+    table = pivots.choose_pivots(vectors[:500], 64)
+    order, starts, near, far, norms = pivots.cells_of(vectors, table)
+    own, queries = vectors[order], vectors[:100]
+    q_table = pivots.distances(queries, table).astype(np.float32)
+    bounds = pivots.bounds_of(q_table, (queries**2).sum(axis=1), near, far, norms)
+    scores = queries @ own.T
+    assert (np.maximum.reduceat(scores, starts, axis=1) <= bounds).all()
+    rows = order.astype(np.int64)
+    found, scored = pivots.best_of_block(rows, rows, own, starts, near, far, norms, np.arange(100), queries, q_table, np.full(100, -np.inf), 10)
+    assert scored < 0.35 * scores.size
+    for q, (places, values) in enumerate(found):
+        want = sorted((-scores[q, p], rows[p]) for p in range(len(rows)) if rows[p] != q)[:10]
+        assert [(-v, rows[p]) for p, v in zip(places, values, strict=True)] == want
 
 
 def toxic_rows():
