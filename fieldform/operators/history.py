@@ -64,21 +64,33 @@ def winner_relative(entries: DataFrame) -> DataFrame:
 # --- states per subject and day -------------------------------------------------------
 
 
-def daily_starts(entries: DataFrame) -> DataFrame:
-    """One row per subject and day: counts over all entries and the last starts of the day, oldest first."""
+def daily_totals(entries: DataFrame) -> DataFrame:
+    """One row per subject and day: counts over all entries, combined map-side."""
     turf = F.lower("surface") == "turf"
-    newest = Window.partitionBy(SUBJECT, DAY).orderBy(F.desc(CONTEST))
-    numbered = entries.withColumn("_rn", F.row_number().over(newest))
-    start = F.when(F.col("_rn") <= DEPTH, F.struct((-F.col("_rn")).alias("_at"), *START_FIELDS))
-    return numbered.groupBy(SUBJECT, DAY).agg(
+    return entries.groupBy(SUBJECT, DAY).agg(
         F.count("*").alias("n"),
         F.sum("label").alias("s"),
         F.count_if(turf).alias("turf_n"),
         F.sum(F.when(turf, F.col("label")).otherwise(0)).alias("turf_s"),
-        F.sort_array(F.collect_list(start)).alias("starts"),
     )
 
 
+def daily_starts(entries: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``daily_totals`` with the last ``depth`` starts of the day, oldest first.
+
+    The rank is a filter, so Spark cuts each day to ``depth`` rows before the shuffle as well: a subject with a
+    great many starts on one day sends no more of them than any other.
+    """
+    totals = daily_totals(entries)
+    if depth == 0:
+        return totals
+    newest = Window.partitionBy(SUBJECT, DAY).orderBy(F.desc(CONTEST))
+    narrow = entries.select(SUBJECT, DAY, CONTEST, *START_FIELDS).filter(F.col(SUBJECT).isNotNull() & F.col(DAY).isNotNull())
+    last = narrow.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= depth)
+    starts = F.sort_array(F.collect_list(F.struct((-F.col("_rn")).alias("_at"), *START_FIELDS)))
+    return totals.join(last.groupBy(SUBJECT, DAY).agg(starts.alias("starts")), [SUBJECT, DAY])
+
+
 def _recent(starts: Column, source: str, k: int, op: str) -> Column:
     """Mean or sum of the known values of the last ``k`` of ``starts``; NULL if none is known."""
     tail = F.slice(starts, F.greatest(F.size(starts) - (k - 1), F.lit(1)), k)
@@ -88,35 +100,33 @@ def _recent(starts: Column, source: str, k: int, op: str) -> Column:
     return F.when(F.size(known) > 0, value)
 
 
-def day_states(daily: DataFrame) -> DataFrame:
-    """State of a subject at the end of each of its days."""
+def day_states(daily: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """State of a subject at the end of each of its days; ``depth`` 0 has the counts alone, 1 the last start as well."""
     upto = Window.partitionBy(SUBJECT).orderBy(DAY)
     totals = upto.rowsBetween(Window.unboundedPreceding, 0)
+    counts = ["n", "s", "turf_n", "turf_s"]
+    summed = [F.sum(c).over(totals).alias(c) for c in counts]
+    if depth == 0:
+        return daily.select(SUBJECT, DAY, *summed).select(SUBJECT, DAY, F.struct(*counts).alias("state"))
     # A day has at least one start, so the last starts lie in as many last days.
-    lately = F.flatten(F.collect_list("starts").over(upto.rowsBetween(1 - DEPTH, 0)))
-    summed = daily.select(
-        SUBJECT, DAY, *[F.sum(c).over(totals).alias(c) for c in ("n", "s", "turf_n", "turf_s")], lately.alias("lately")
-    )
-    recent = [_recent(F.col("lately"), src, k, op).alias(name) for src, name, k, op in RECENT]
-    summed = summed.withColumn("last", F.element_at("lately", -1)).withColumn("recent", F.struct(*recent))
-    return summed.select(
-        SUBJECT,
-        DAY,
-        F.struct(
-            "n", "s", "turf_n", "turf_s",
-            F.col(DAY).alias("prev_date"),
-            F.col("last.distance_m").alias("prev_distance_m"),
-            F.col("last.surface").alias("prev_surface"),
-            F.col("last.weight").alias("prev_weight"),
-            *[F.col(f"recent.{name}").alias(name) for _, name, _, _ in RECENT],
-            F.lag("recent").over(upto).alias("before"),
-        ).alias("state"),
-    )
+    lately = F.flatten(F.collect_list("starts").over(upto.rowsBetween(1 - depth, 0))) if depth > 1 else F.col("starts")
+    out = daily.select(SUBJECT, DAY, *summed, lately.alias("lately")).withColumn("last", F.element_at("lately", -1))
+    state = [
+        *counts,
+        F.col(DAY).alias("prev_date"),
+        F.col("last.distance_m").alias("prev_distance_m"),
+        F.col("last.surface").alias("prev_surface"),
+        F.col("last.weight").alias("prev_weight"),
+    ]
+    if depth > 1:
+        out = out.withColumn("recent", F.struct(*[_recent(F.col("lately"), src, k, op).alias(name) for src, name, k, op in RECENT]))
+        state += [*[F.col(f"recent.{name}").alias(name) for _, name, _, _ in RECENT], F.lag("recent").over(upto).alias("before")]
+    return out.select(SUBJECT, DAY, F.struct(*state).alias("state"))
 
 
-def prior_states(entries: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+def prior_states(entries: DataFrame, targets: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
     """(subject, day, state strictly before that day) for the days of entries or of targets."""
-    states = day_states(daily_starts(entries))
+    states = day_states(daily_starts(entries, depth), depth)
     order = Window.partitionBy(SUBJECT).orderBy(DAY)
     if targets is None:
         return states.select(SUBJECT, DAY, F.lag("state").over(order).alias("state"))
@@ -272,13 +282,13 @@ def _with_state(entries: DataFrame, states: DataFrame, *cols: Column) -> DataFra
 
 def prior_counts(entries: DataFrame) -> DataFrame:
     """Earlier starts and successes: career, turf, same distance, same course."""
-    out = _with_state(entries, prior_states(_with_start_fields(entries)), *_state_counts())
+    out = _with_state(entries, prior_states(entries, depth=0), *_state_counts())
     return _join_cells(out, cell_counts(history_cells(entries)))
 
 
 def prev_deltas(entries: DataFrame) -> DataFrame:
     """Days and changes since the previous start; NULL at the first."""
-    return _with_state(entries, prior_states(_with_start_fields(entries)), *_state_deltas())
+    return _with_state(entries, prior_states(_with_start_fields(entries), depth=1), *_state_deltas())
 
 
 def recent_form(entries: DataFrame) -> DataFrame:

@@ -138,3 +138,28 @@ def test_strict_history_reports_same_day_repeats(spark):
     rows = field(spark, [entry(0, 0, 1, 1, 1), entry(1, 0, 1, 1, 1), entry(2, 1, 1, 1, 1)])
     report = {r["rule"]: r["violations"] for r in history.strict_history_check(history.build_panel(rows)).collect()}
     assert report == {"same_day": 1, "duplicate_key": 0, "not_before": 0}
+
+
+def test_plans_of_the_day_states(spark):
+    """Counts use no window over raw entries; starts are cut to the rank before the shuffle."""
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    rows = history.winner_relative(field(spark, rotating()))
+    counts = plan(history.daily_starts(rows, 0))
+    assert "Window" not in counts and counts.count("Exchange hashpartitioning(subject_id") == 1
+    starts = plan(history.daily_starts(rows))
+    assert "WindowGroupLimit" in starts and starts.index("WindowGroupLimit") < starts.rindex("WindowGroupLimit")
+
+
+def test_many_starts_on_one_day(spark):
+    """Hundreds of starts of one subject on one day: all are counted, the last ones by contest id are summarized."""
+    rows = [entry(c, 10, 1, 1, 1 + c % 4, distance_m=1000 + c) for c in range(300)] + [entry(c, 10, 2 + k, 2 + k, 2 + (c + k) % 3) for c in range(300) for k in range(3)]
+    rows += [entry(900, 20, s, s, s) for s in (1, 2, 3, 4)]
+    out = history.build_panel(field(spark, rows)).filter("contest_id = 900 AND subject_id = 1").first()
+    assert out["career_starts"] == 300 and out["career_top3"] == 225
+    assert out["distance_change"] == 1200 - 1299
+    assert out["recent3_top3"] == sum(1 + c % 4 <= 3 for c in (297, 298, 299))
+    totals = {r["subject_id"]: (r["n"], len(r["starts"])) for r in history.daily_starts(history.winner_relative(field(spark, rows))).filter("n > 1").collect()}
+    assert totals == {s: (300, 4) for s in (1, 2, 3, 4)}
