@@ -423,3 +423,50 @@ def leakage_probe(
     moved = [F.count_if(~F.col(c).eqNullSafe(F.col(f"_{c}"))).alias(c) for c in columns]
     wide = left.join(right, keys).agg(F.count("*").alias("rows"), *moved)
     return wide.unpivot(["rows"], list(columns), "predictor", "changed")
+
+
+def closure_sample(entries: DataFrame) -> DataFrame:
+    """For the first contest of each year, everything its predictors may depend on, as a table of its own.
+
+    A probe holds the target contest, and every earlier contest in which a subject of the target ran, with its whole
+    field.  Contests and subjects get ids of their own in each probe, so all years are rebuilt by one plan while the
+    outcomes of one year's target never count as history of another's.  ``probe`` is the year, ``is_target`` marks the target's rows.
+    """
+    first = entries.groupBy(F.year(DAY).alias("probe")).agg(F.min(F.struct(DAY, CONTEST)).alias("_t"))
+    targets = first.filter("probe IS NOT NULL").select("probe", F.col(f"_t.{DAY}").alias("_day"), F.col(f"_t.{CONTEST}").alias("_target"))
+    subjects = entries.join(targets, entries[CONTEST] == F.col("_target")).select("probe", "_day", "_target", SUBJECT).distinct()
+    theirs = entries.select(SUBJECT, CONTEST, F.col(DAY).alias("_when")).join(subjects, SUBJECT)
+    theirs = theirs.filter((F.col("_when") < F.col("_day")) | (F.col(CONTEST) == F.col("_target"))).select("probe", "_target", CONTEST).distinct()
+    rows = entries.join(theirs, CONTEST).withColumn("is_target", F.col(CONTEST) == F.col("_target")).drop("_target")
+    own = lambda c: (F.col(c) * 10_000 + F.col("probe")).alias(c)
+    return rows.select(*[own(c) if c in (CONTEST, SUBJECT) else F.col(c) for c in entries.columns], "probe", "is_target")
+
+
+def leakage_closure(
+    entries: DataFrame, build, columns: Sequence[str], field_columns: Sequence[str], outcomes: Mapping[str, Mapping[str, Column]]
+) -> DataFrame:
+    """``probe, variant, level, predictor, rows, changed`` over the closure sample; ``changed`` must be 0.
+
+    ``outcomes`` maps each variant (outcomes nulled, inverted, ...) to replacements of the target rows.  Predictors in
+    ``field_columns``, which compare within the target's field, are reported apart.
+    """
+    sample = materialize(closure_sample(entries), "closure")
+    keys = [CONTEST, SUBJECT]
+    targets = sample.filter("is_target").select(*keys, "probe")
+
+    def rebuilt(rows: DataFrame) -> DataFrame:
+        return build(rows.drop("probe", "is_target")).select(*keys, *columns)
+
+    left = materialize(rebuilt(sample).join(targets, keys), "probe")
+    parts = []
+    for variant, changes in outcomes.items():
+        altered = sample.select(*[F.when(F.col("is_target"), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in sample.columns])
+        right = rebuilt(altered).select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])
+        # Left: a target row that the altered build loses counts as changed.
+        moved = [F.count_if(~F.col(c).eqNullSafe(F.col(f"_{c}"))).alias(c) for c in columns]
+        wide = left.join(right, keys, "left").groupBy("probe").agg(F.count("*").alias("rows"), *moved)
+        parts.append(wide.unpivot(["probe", "rows"], list(columns), "predictor", "changed").withColumn("variant", F.lit(variant)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("level", F.when(F.col("predictor").isin(*field_columns), "field").otherwise("entry"))

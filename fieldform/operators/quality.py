@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldform.contracts import forbid_columns, forbid_outcomes
+from fieldform.contracts import ContractError, forbid_columns, forbid_outcomes
 from fieldform.functions.contest import draw_pct
 from fieldform.operators.joins import FINISHERS, key_difference, reconcile_keys, reconcile_outer, repeated_keys
 from fieldform.scale import names, with_group
@@ -154,6 +154,52 @@ def consensus_map(
     return out, out.filter(F.col("n_values") > 1)
 
 
+def latest_statements(facts: DataFrame, key: str, value: str, source: str, order: Sequence[str]) -> DataFrame:
+    """The last statement of each source on each key, by ``order`` and then by value."""
+    last = F.max_by(F.struct(value, *order), F.struct(*order, value))
+    return facts.filter(F.col(key).isNotNull()).groupBy(key, source).agg(last.alias("_s")).select(key, source, "_s.*")
+
+
+def source_agreement(stated: DataFrame, key: str, value: str, source: str) -> DataFrame:
+    """For each pair of sources: keys that both state, keys on which they agree, and the share.
+
+    ``stated`` has one row per key and source (``latest_statements``), so a key meets itself once per pair of sources
+    that state it.  A NULL value is a value of its own.
+    """
+    a = stated.select(key, F.col(source).alias("source_a"), F.col(value).alias("_a"))
+    b = stated.select(key, F.col(source).alias("source_b"), F.col(value).alias("_b"))
+    both = a.join(b, key).filter(F.col("source_a") < F.col("source_b"))
+    out = both.groupBy("source_a", "source_b").agg(F.count("*").alias("shared"), F.count_if(F.col("_a").eqNullSafe(F.col("_b"))).alias("agreeing"))
+    return out.withColumn("share", F.col("agreeing") / F.col("shared"))
+
+
+def preferred_statement(stated: DataFrame, precedence: DataFrame, key: str, value: str, source: str, day: str) -> DataFrame:
+    """One statement per key, of the source that comes first in the year of its day.
+
+    ``precedence`` has (source, first_year, last_year, priority); a source outside its years states nothing.  Among
+    equal priorities the later day counts, then the source.
+    """
+    ranked = stated.join(precedence, source).filter(F.year(day).between(F.col("first_year"), F.col("last_year")))
+    order = F.struct("priority", -F.datediff(day, F.lit("1970-01-01").cast("date")), source)
+    chosen = ranked.groupBy(key).agg(F.min_by(F.struct(value, source, day, "priority"), order).alias("_s"))
+    return chosen.select(key, "_s.*")
+
+
+def anchor_report(mapped: DataFrame, anchors: DataFrame, key: str, value: str) -> DataFrame:
+    """Anchors ``(key, expected)`` against a map with one value per key: ``ok``, ``wrong`` or ``missing``."""
+    found = mapped.select(key, F.col(value).alias("found"), F.lit(True).alias("_there"))
+    verdict = F.when(F.col("_there").isNull(), "missing").when(F.col("found").eqNullSafe(F.col("expected")), "ok").otherwise("wrong")
+    return anchors.join(found, key, "left").withColumn("verdict", verdict).drop("_there")
+
+
+def refuse_disagreement(agreement: DataFrame, anchors: DataFrame | None = None) -> None:
+    """Fail where sources disagree or where a stated anchor is wrong; a missing anchor is no failure."""
+    bad = [f"{r['source_a']}/{r['source_b']}: {r['shared'] - r['agreeing']}" for r in agreement.filter("agreeing < shared").collect()]
+    bad += [f"anchor {r[0]}" for r in anchors.filter("verdict = 'wrong'").collect()] if anchors is not None else []
+    if bad:
+        raise ContractError("sources disagree: " + "; ".join(bad))
+
+
 def inventory_evidence(source: DataFrame, evidence: DataFrame, overrides: DataFrame, card: str = "card") -> DataFrame:
     """Accept a card when its source count equals any independent count, else by recorded override.
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldform.operators.joins import FINISHERS, upsert_contests
+from fieldform.sources.parts import apply_parts
 from fieldform.sources.snapshot import publish_snapshot, read_current
 
 
@@ -40,3 +41,20 @@ def follow_shards(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def follow_parts(
+    spark: SparkSession, path: str, schema: T.StructType, ledger: DataFrame, root: str, checkpoint: str, files_per_batch: int = 1000
+) -> StreamingQuery:
+    """As ``follow_shards`` over a snapshot of parts: a batch rewrites the months that it touches, not the tables."""
+
+    def publish(batch: DataFrame, _: int) -> None:
+        apply_parts(batch.sparkSession, batch, ledger, root)
+
+    shards = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return (
+        shards.writeStream.foreachBatch(publish)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
