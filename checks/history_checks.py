@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from checks.spec import check
-from fieldform.operators import history
+from fieldform.operators import carried, history
 from fieldform.plans.panels import panel
 from fieldform.sources.testtables import starters
 
@@ -182,3 +184,15 @@ def _(spark, sf):
         "is_graded": 1 - F.col("is_graded"),
     }
     return history.leakage_probe(rows, history.build_panel, F.col("contest_date") == last, PROBED, outcomes)
+
+
+@check(
+    "carried_panel",
+    KEYS + COUNTS + DELTAS + RECENT + TREND + "front_share:f",
+    "SELECT * FROM panel WHERE contest_date > DATE '2000-03-31'",
+)
+def _(spark, sf):
+    """The state through 1999, moved on by a quarter, and the panel of everything after it."""
+    rows = starters(spark, sf)
+    state = carried.extend(carried.carry(rows, dt.date(1999, 12, 31)), rows, dt.date(2000, 3, 31))
+    return carried.carried_panel(state, rows.filter("contest_date > DATE '2000-03-31'"))

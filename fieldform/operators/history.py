@@ -333,9 +333,13 @@ def build_panel(entries: DataFrame) -> DataFrame:
     require_columns(entries, PANEL_REQUIRED)
     forbid_columns(entries)
     timed = winner_relative(entries)
-    states = prior_states(timed)
+    return panel_of(timed, prior_states(timed), cell_counts(history_cells(entries)))
+
+
+def panel_of(timed: DataFrame, states: DataFrame, cells: DataFrame) -> DataFrame:
+    """The panel of entries from the states before their days and the counts of their courses."""
     out = _with_state(timed, states, *_state_counts(), *_state_deltas(), *_state_recent(), *_state_trends())
-    return _with_cells_and_share(out, cell_counts(history_cells(entries)))
+    return _with_cells_and_share(out, cells)
 
 
 def asof_context(history: DataFrame, targets: DataFrame, tolerance: int = 200) -> DataFrame:
