@@ -66,10 +66,11 @@ def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_documents(spark, table(spark, sf_dir, "documents"), sf_dir)
 
 
-def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, severity, grade, toxic`` of ``docs``, by a model fitted on those that ``labels`` names."""
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, digest: bool = False) -> DataFrame:
+    """``doc_id, severity, grade, toxic`` of ``docs`` (and ``text_sha256``), by a model fitted on those that ``labels`` names."""
     graded = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade"))
-    return severity(docs, graded, spread=True).select("doc_id", "severity", "grade", (F.col("grade") > 0).alias("toxic"))
+    out = severity(docs, graded, spread=True, digest=digest)
+    return out.select("doc_id", "severity", "grade", (F.col("grade") > 0).alias("toxic"), *(["text_sha256"] if digest else []))
 
 
 def op5_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

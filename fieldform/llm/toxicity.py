@@ -177,21 +177,26 @@ def _score(model, levels: int):
                 chances = _sigmoid(x[:, None] - cuts[None, :])
                 flat = pa.ListArray.from_arrays(np.arange(0, chances.size + 1, levels - 1, dtype=np.int32), chances.ravel())
                 arrays = [batch.column(0).slice(first, last - first), pa.array(chances.sum(axis=1)), pa.array((chances >= 0.5).sum(axis=1), pa.int32()), flat]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "severity", "grade", "chances"])
+                names = ["doc_id", "severity", "grade", "chances", *batch.schema.names[2:]]
+                yield pa.RecordBatch.from_arrays([*arrays, *[c.slice(first, last - first) for c in batch.columns[2:]]], names=names)
 
     return run
 
 
 def severity(docs: DataFrame, graded: DataFrame, levels: int = 3, *, per_grade: int = PER_GRADE, spread: bool = False, id: str = "doc_id",
-             text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, severity, grade, chances``.
+             text: str = "text", digest: bool = False) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, severity, grade, chances``, and with ``digest`` the ``text_sha256`` (null text: empty).
 
     ``severity`` is the expected grade, ``chances`` the probabilities of each grade from 1 or more,
     ``grade`` the highest grade that is as likely as not.
     """
     model = fit_severity(docs, graded, levels, per_grade=per_grade, spread=spread, id=id, text=text)
     slim = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    if digest:
+        slim = slim.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    extra = slim.columns[2:]
     if model is None:
         none = F.array(*[F.lit(0.0)] * (levels - 1))
-        return slim.select("doc_id", F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), none.alias("chances"))
-    return slim.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), levels), SCORES)
+        return slim.select("doc_id", F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), none.alias("chances"), *extra)
+    schema = ", ".join([SCORES, *[f"{c} string" for c in extra]])
+    return slim.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), levels), schema)
