@@ -21,9 +21,14 @@ from fieldform.scale import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the ordinal model grades above none.  An id goes with all its rows."""
-    rejected = toxic_documents(spark, docs, sf_dir).where("toxic").select("doc_id").distinct()
-    return docs.join(materialize(rejected, "rejected"), "doc_id", "left_anti").select(docs.columns)
+    """Without the rows that the ordinal model grades above none.
+
+    A row goes by its id and the digest of its text, nulls included, so other rows of its id stay; a null text is empty.
+    """
+    rejected = toxic_documents(spark, docs, sf_dir, digest=True).where("toxic").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    rejected, sha = materialize(rejected, "rejected"), F.sha2(F.coalesce("text", F.lit("")), 256)
+    gone = F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
+    return docs.join(rejected, gone, "left_anti").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +49,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, once per copy."""
+    """The documents that the mix takes, once per copy; empty and null texts have no words to take and go."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     # Rows of one id are told apart by their source and size, then in any order: the mix treats those alike.
     among = Window.partitionBy("doc_id").orderBy("source", "size")
@@ -56,7 +61,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all sequences with their token ids."""
+    """The pieces of all sequences with their token ids; a null text is empty, null ids are kept, no rows give no pieces."""
     return pack_documents(docs, tokenizer_path())
 
 
