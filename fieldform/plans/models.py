@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fieldform.contracts import ContractError, forbid_columns, require_columns
 from fieldform.operators import relative
 from fieldform.operators.history import BLOCKS, TRENDS
+from fieldform.operators.quantiles import exact_medians
 from fieldform.operators.relative import INTERACTIONS, RELATIVE_RULES
 
 # Fixed feature blocks.
@@ -146,13 +147,16 @@ def _quoted(values: Sequence[str]) -> str:
 def feature_stages(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], min_frequency: int = 5, scale: bool = False
 ) -> Pipeline:
-    """Median imputation with missing flags, rare-level collapse, one-hot; scaling when asked.
+    """Exact median imputation with missing flags, rare-level collapse, one-hot; scaling when asked.
 
     Columns without any known value are left out.  Unseen levels become all zeros.
     """
-    known = df.agg(*[F.count(c).alias(c) for c in numeric]).first()
-    used = [c for c in numeric if known[c] > 0]
-    select = [f"CAST(`{c}` AS DOUBLE) AS `{c}__v`, CAST(isnull(`{c}`) AS DOUBLE) AS `{c}__na`" for c in used]
+    medians = exact_medians(df, numeric)
+    used = [c for c in numeric if medians[c] is not None]
+    select = [
+        f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), NULL), CAST('{medians[c]!r}' AS DOUBLE)) AS `{c}__i`, CAST(isnull(`{c}`) AS DOUBLE) AS `{c}__na`"
+        for c in used
+    ]
     for c in categorical:
         frequent, rare = _levels(df, c, min_frequency)
         text = f"coalesce(CAST(`{c}` AS STRING), 'UNKNOWN')"
@@ -161,7 +165,6 @@ def feature_stages(
         select.append(f"CASE {cases}ELSE '{UNSEEN}' END AS `{c}__c`")
     stages = [
         SQLTransformer(statement=f"SELECT *, {', '.join(select)} FROM __THIS__"),
-        Imputer(strategy="median", inputCols=[f"{c}__v" for c in used], outputCols=[f"{c}__i" for c in used]),
         VectorAssembler(inputCols=[f"{c}__i" for c in used] + [f"{c}__na" for c in used], outputCol="numeric"),
     ]
     final = "numeric"
