@@ -162,28 +162,35 @@ def _(spark, sf):
 
 @check(
     "subgroup_diagnostics",
-    "dimension:s level:s rows:i contests:i macro_brier:f macro_log_loss:f micro_brier:f baseline_macro_brier:f brier_skill:f "
+    "candidate:s dimension:s level:s rows:i contests:i macro_brier:f macro_log_loss:f micro_brier:f baseline_macro_brier:f brier_skill:f "
     "observed_rate:f mean_predicted:f calibration_gap:f",
     """
-WITH q AS (SELECT * FROM entry_loss WHERE candidate = 'form'),
-u AS (SELECT u.dimension, u.level, q.* FROM q, LATERAL (VALUES ('overall', 'all'), ('year', year), ('field_size_band', field_size_band),
+WITH u AS (SELECT u.dimension, u.level, q.* FROM entry_loss q, LATERAL (VALUES ('overall', 'all'), ('year', year), ('field_size_band', field_size_band),
   ('contest_class', contest_class), ('venue', CAST(venue AS VARCHAR)), ('rest_band', rest_band), ('starts_band', starts_band)) u(dimension, level)),
-c AS (SELECT dimension, level, contest_id, count(*) AS n, avg(brier) AS b, avg(log_loss) AS l, avg(pow(p_uniform - label, 2)) AS bb,
-  sum(label) AS y, sum(p) AS sp FROM u GROUP BY 1, 2, 3)
+c AS (SELECT candidate, dimension, level, contest_id, count(*) AS n, avg(brier) AS b, avg(log_loss) AS l, avg(pow(p_uniform - label, 2)) AS bb,
+  sum(label) AS y, sum(p) AS sp FROM u GROUP BY 1, 2, 3, 4)
 ----
-SELECT dimension, level, sum(n) AS rows, count(*) AS contests, avg(b) AS macro_brier, avg(l) AS macro_log_loss, sum(b * n) / sum(n) AS micro_brier,
+SELECT candidate, dimension, level, sum(n) AS rows, count(*) AS contests, avg(b) AS macro_brier, avg(l) AS macro_log_loss, sum(b * n) / sum(n) AS micro_brier,
   avg(bb) AS baseline_macro_brier, 1 - avg(b) / avg(bb) AS brier_skill, sum(y) / sum(n) AS observed_rate, sum(sp) / sum(n) AS mean_predicted,
   sum(y) / sum(n) - sum(sp) / sum(n) AS calibration_gap
-FROM c GROUP BY dimension, level""",
+FROM c GROUP BY candidate, dimension, level""",
 )
 def _(spark, sf):
-    rows = predictions(spark, sf).withColumnRenamed("p_form", "p")
-    return metrics.subgroup_diagnostics(rows, calibration=False)
+    return by_candidate(spark, sf, calibration=False)
 
 
-@check("subgroup_calibration", "dimension:s level:s rows:i intercept:f slope:f")
+@check("subgroup_calibration", "candidate:s dimension:s level:s rows:i intercept:f slope:f")
 def _(spark, sf):
-    return metrics.subgroup_diagnostics(predictions(spark, sf).withColumnRenamed("p_form", "p"))
+    return by_candidate(spark, sf)
+
+
+def by_candidate(spark, sf, **kw):
+    wide = predictions(spark, sf)
+    parts = [
+        metrics.subgroup_diagnostics(wide.withColumn("p", F.col(f"p_{c}")), **kw).withColumn("candidate", F.lit(c))
+        for c in ("market", "uniform", "form")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @check(
@@ -251,9 +258,11 @@ def _(spark, sf):
     "feature_coverage",
     "feature:s source:s context_rows:i source_non_null:i output_non_null:i eligible_rows:i eligible_non_null:i eligible_coverage:f",
     """
-WITH p(feature, source) AS (VALUES ('rel_career', 'career_shrunk'), ('rel_recent3_finish', 'recent3_finish_pct'), ('rel_recent3_time', 'recent3_rel_time')),
+WITH p(feature, source) AS (VALUES ('rel_career', 'career_shrunk'), ('rel_recent3_finish', 'recent3_finish_pct'), ('rel_recent3_time', 'recent3_rel_time'),
+  ('rel_same_distance', 'same_distance_shrunk'), ('rel_same_course', 'same_course_shrunk')),
 x AS (SELECT r.contest_id, r.subject_id, u.feature, u.s, u.o FROM relative r, LATERAL (VALUES ('rel_career', career_shrunk, rel_career),
-  ('rel_recent3_finish', recent3_finish_pct, rel_recent3_finish), ('rel_recent3_time', recent3_rel_time, rel_recent3_time)) u(feature, s, o)
+  ('rel_recent3_finish', recent3_finish_pct, rel_recent3_finish), ('rel_recent3_time', recent3_rel_time, rel_recent3_time),
+  ('rel_same_distance', same_distance_shrunk, rel_same_distance), ('rel_same_course', same_course_shrunk, rel_same_course)) u(feature, s, o)
   WHERE r.contest_id IN (SELECT contest_id FROM cohort)),
 y AS (SELECT x.*, c.subject_id IS NOT NULL AS inside FROM x LEFT JOIN cohort c ON c.contest_id = x.contest_id AND c.subject_id = x.subject_id)
 ----
@@ -268,8 +277,7 @@ def _(spark, sf):
     prior = training_prior(rows)
     context = relative.relative_ability(relative.full_context(rows, chosen), rows, prior)
     eligible = context.join(chosen.select("contest_id", "subject_id"), ["contest_id", "subject_id"], "left_semi")
-    pairs = [("career_shrunk", "rel_career"), ("recent3_finish_pct", "rel_recent3_finish"), ("recent3_rel_time", "rel_recent3_time")]
-    return relative.feature_coverage(context, eligible, pairs)
+    return relative.feature_coverage(context, eligible, [(source, out) for source, out, _ in relative.RELATIVE_RULES])
 
 
 @check(

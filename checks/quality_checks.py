@@ -8,7 +8,7 @@ from checks.spec import check
 from fieldform import contracts
 from fieldform.functions import contest as fc
 from fieldform.functions.probability import field_size_baseline
-from fieldform.operators import cohorts, history, joins, locks, metrics, quality, ranking, relative, selection
+from fieldform.operators import cohorts, history, joins, locks, metrics, quality, quantiles, ranking, relative, selection
 from fieldform.plans.panels import panel
 from fieldform.plans.predictions import SPLITS, predictions
 from fieldform.sources.fingerprint import row_fingerprint
@@ -169,12 +169,11 @@ def _(spark, sf):
 @check(
     "full_context",
     KEYS + "field_size:i",
-    "SELECT * FROM starters WHERE contest_id IN (SELECT s.contest_id FROM starters s JOIN counted c ON c.contest_id = s.contest_id "
-    "AND c.subject_id = s.subject_id WHERE surface = 'turf' AND field_size >= 8 AND career_starts >= 3 AND distance_m = 1200)",
+    "SELECT s.contest_id, s.subject_id, s.field_size FROM starters s JOIN (SELECT DISTINCT contest_id FROM cohort) c ON c.contest_id = s.contest_id",
 )
 def _(spark, sf):
     rows = panel(spark, sf)
-    return relative.full_context(rows, cohorts.select_cohort(rows, "turf", lo=1200, hi=1200))
+    return relative.full_context(rows, cohorts.select_cohort(rows, "turf"))
 
 
 @check(
@@ -433,16 +432,42 @@ def _(spark, sf):
     return quality.cube_counts(rows, sets)
 
 
+# Every column of the panel but the keys.
+PANEL_COLUMNS = (
+    "entry_no", "status", "surface", "venue", "distance_m", "contest_class", "turn_direction", "grp", "age", "weight", "declared_size",
+    "field_size", "finish_position", "time_s", "early_position", "label", "finish_pct", "early_pct", "draw_pct", "is_open_plus",
+    "is_graded", "winner_time", "rel_time", "career_starts", "career_top3", "turf_starts", "turf_top3", "prev_date", "days_since_prev",
+    "distance_change", "surface_changed", "weight_change", "recent3_finish_pct", "recent3_top3", "recent3_open_plus", "recent3_graded",
+    "recent3_rel_time", "recent4_early_pct", "trend_finish", "trend_time", "trend_top3", "trend_early", "front_share",
+    "same_distance_starts", "same_distance_top3", "same_course_starts", "same_course_top3",
+)
+
+
 @check(
     "missingness",
     "year:i feature:s rows:i nulls:i null_rate:f",
-    """SELECT year(contest_date) AS year, u.f AS feature, count(*) AS rows, count(*) - count(u.v) AS nulls, 1 - count(u.v) / count(*) AS null_rate
-FROM panel, LATERAL (VALUES ('days_since_prev', CAST(days_since_prev AS DOUBLE)), ('recent3_rel_time', recent3_rel_time),
-  ('trend_finish', trend_finish), ('rel_time', rel_time)) u(f, v) GROUP BY 1, 2""",
+    f"""SELECT year(contest_date) AS year, u.f AS feature, count(*) AS rows, count(*) - count(u.v) AS nulls, 1 - count(u.v) / count(*) AS null_rate
+FROM panel, LATERAL (VALUES {", ".join(f"('{c}', CAST({c} AS VARCHAR))" for c in PANEL_COLUMNS)}) u(f, v) GROUP BY 1, 2""",
 )
 def _(spark, sf):
     rows = panel(spark, sf).withColumn("year", F.year("contest_date"))
-    return quality.missingness(rows, ["days_since_prev", "recent3_rel_time", "trend_finish", "rel_time"], ["year"])
+    return quality.missingness(rows, PANEL_COLUMNS, ["year"])
+
+
+NUMBERS = tuple(
+    c for c in PANEL_COLUMNS if c not in ("status", "surface", "contest_class", "turn_direction", "grp", "prev_date")
+)
+
+
+@check(
+    "exact_medians",
+    "feature:s median:f",
+    f"""SELECT u.f AS feature, median(u.v) AS median FROM panel, LATERAL (VALUES {", ".join(f"('{c}', CAST({c} AS DOUBLE))" for c in NUMBERS)}) u(f, v)
+GROUP BY 1""",
+)
+def _(spark, sf):
+    found = quantiles.exact_medians(panel(spark, sf), NUMBERS)
+    return spark.createDataFrame(list(found.items()), "feature string, median double")
 
 
 @check(
@@ -472,10 +497,11 @@ def _(spark, sf):
     "column_name:s value:s count:i width:i rank:i",
     """SELECT column_name, value, count, length(value) AS width, row_number() OVER (PARTITION BY column_name ORDER BY count DESC, value) AS rank
 FROM (SELECT u.c AS column_name, u.v AS value, count(*) AS count FROM events, LATERAL (VALUES ('event_type', event_type),
-  ('user_id', CAST(user_id AS VARCHAR)), ('props', props)) u(c, v) GROUP BY 1, 2) QUALIFY rank <= 25""",
+  ('user_id', CAST(user_id AS VARCHAR)), ('props', props), ('event_id', CAST(event_id AS VARCHAR)), ('ts', CAST(ts AS VARCHAR)),
+  ('value', CAST(value AS VARCHAR))) u(c, v) GROUP BY 1, 2) QUALIFY rank <= 25""",
 )
 def _(spark, sf):
-    return quality.value_profile(table(spark, sf, "events"), ["event_type", "user_id", "props"], 25)
+    return quality.value_profile(table(spark, sf, "events"), ["event_type", "user_id", "props", "event_id", "ts", "value"], 25)
 
 
 @check(
@@ -720,7 +746,12 @@ def review_input(spark, sf):
     )
 
 
-@check("review_decision", REVIEWED, review_sql(200, 30, 90))
+@check("review_decision", REVIEWED, review_sql(1000, 60, 90))
+def _(spark, sf):
+    return selection.review_decision(review_input(spark, sf))
+
+
+@check("review_decision_early", REVIEWED, review_sql(200, 30, 90))
 def _(spark, sf):
     return selection.review_decision(review_input(spark, sf), contests=200, dates=30, days=90)
 

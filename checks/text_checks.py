@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +15,7 @@ from fieldform.functions import parse
 from fieldform.operators import cohorts, metrics, quality, relative, standardize
 from fieldform.plans.panels import panel
 from fieldform.plans.predictions import SPLITS, long_predictions, predictions, training_prior
-from fieldform.sources import readers, snapshot, writers
+from fieldform.sources import readers, records, snapshot, writers
 from fieldform.sources.testtables import entries, table
 
 KEYS = "contest_id:i subject_id:i "
@@ -396,15 +399,36 @@ def _(spark, sf):
 
 @check(
     "report_bundle",
-    "candidate:s year:i contests:i rows:i macro_brier:f",
-    """SELECT l.candidate, year(l.block) AS year, count(*) AS contests, sum(l.rows) AS rows, any_value(s.macro_brier) AS macro_brier
-FROM losses l JOIN scores s ON s.candidate = l.candidate GROUP BY 1, 2""",
+    "part:s candidate:s level:s rows:i value:f",
+    """
+WITH rk AS (SELECT candidate, p, label, row_number() OVER (PARTITION BY candidate ORDER BY p, contest_id, subject_id) AS r,
+  count(*) OVER (PARTITION BY candidate) AS n FROM preds)
+----
+SELECT 'scores' AS part, candidate, 'all' AS level, rows, macro_brier AS value FROM scores
+UNION ALL SELECT 'paired', l.candidate, 'all', count(*), avg(l.brier - r.brier) FROM losses l JOIN losses r ON r.contest_id = l.contest_id
+WHERE r.candidate = 'uniform' GROUP BY 2
+UNION ALL SELECT 'losses', candidate, CAST(contest_id AS VARCHAR), rows, brier FROM losses
+UNION ALL SELECT 'reliability', candidate, CAST(CAST(greatest(ceil((r - 1) * 10 / (n - 1.0)) - 1, 0) AS BIGINT) AS VARCHAR), count(*), avg(label) - avg(p)
+FROM rk GROUP BY 2, 3
+UNION ALL SELECT 'folds', candidate, CAST(year(block) AS VARCHAR), sum(rows), count(*) FROM losses GROUP BY 2, 3""",
 )
 def _(spark, sf):
     out = scale.new_folder(spark, "report")
     writers.report_bundle(long_predictions(predictions(spark, sf)), "uniform", out)
-    scores = spark.read.parquet(f"{out}/scores").select("candidate", "macro_brier")
-    return spark.read.parquet(f"{out}/folds").join(scores, "candidate")
+    shown = {
+        "scores": (F.lit("all"), "rows", "macro_brier"),
+        "paired": (F.lit("all"), "contests", "mean_brier_delta"),
+        "losses": (F.col("contest_id").cast("string"), "rows", "brier"),
+        "reliability": (F.col("bin").cast("string"), "rows", "gap"),
+        "folds": (F.col("year").cast("string"), "rows", "contests"),
+    }
+    parts = [
+        spark.read.parquet(f"{out}/{part}").select(
+            F.lit(part).alias("part"), "candidate", level.alias("level"), F.col(rows).alias("rows"), F.col(value).cast("double").alias("value")
+        )
+        for part, (level, rows, value) in shown.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 FAMILIES = {"career_shrunk": "history", "turf_shrunk": "history", "draw_pct": "entry", "front_share": "field"}
@@ -447,3 +471,67 @@ def _(spark, sf):
     )
     second = locked.filter("contest_id % 43 = 0").withColumn("lock_id", F.lit("b"))
     return quality.lock_conflicts(locked.unionByName(second))
+
+
+# --- JSON records -----------------------------------------------------------------------
+
+RECORD = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("amount", T.DoubleType()),
+        T.StructField("detail", T.StructType([T.StructField("k", T.LongType())])),
+    ]
+)
+
+
+def record_lines(spark, sf):
+    """Events as JSON lines; one in fifty is broken in each of six ways."""
+    whole = F.concat(
+        F.lit('{"event_id": '), "event_id", F.lit(', "user_id": '), "user_id", F.lit(', "kind": "'), "event_type", F.lit('", "amount": '),
+        F.col("value").cast("string"), F.lit(', "detail": '), "props", F.lit("}"),
+    )
+    turn = F.col("event_id") % 50
+    text = (
+        F.when(turn == 1, F.substring(whole, 1, 20))
+        .when(turn == 2, F.regexp_replace(whole, '"user_id": ', '"user_id": "u" , "user": '))
+        .when(turn == 3, F.regexp_replace(whole, '"user_id": [0-9]+, ', ""))
+        .when(turn == 4, F.regexp_replace(whole, r"\}$", ', "note": 1}'))
+        .when(turn == 5, F.lit("  "))
+        .when(turn == 6, F.concat(F.lit("["), whole, F.lit("]")))
+        .otherwise(whole)
+    )
+    return table(spark, sf, "events").select(text.alias("value"))
+
+
+def json_records(spark, sf):
+    return records.read_records(record_lines(spark, sf), RECORD, ["event_id", "user_id"])
+
+
+WHOLE = (
+    "SELECT event_id, user_id, event_type AS kind, value AS amount, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events "
+    "WHERE event_id % 50 NOT BETWEEN 1 AND 6"
+)
+
+
+@check("json_records", "event_id:i user_id:i kind:s amount:f k:i", WHOLE)
+def _(spark, sf):
+    return json_records(spark, sf)[0].withColumn("k", F.col("detail.k"))
+
+
+@check(
+    "json_quarantine",
+    "reason:s field:s lines:i",
+    """SELECT CASE event_id % 50 WHEN 2 THEN 'wrong_type' WHEN 3 THEN 'missing_field' WHEN 4 THEN 'unknown_field' WHEN 5 THEN 'empty'
+  ELSE 'not_an_object' END AS reason, CASE event_id % 50 WHEN 3 THEN 'user_id' WHEN 4 THEN 'note' END AS field, count(*) AS lines
+FROM events WHERE event_id % 50 BETWEEN 1 AND 6 GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    return json_records(spark, sf)[1].groupBy("reason", "field").agg(F.count("*").alias("lines"))
+
+
+@check("json_round_trip", "event_id:i user_id:i kind:s amount:f k:i", WHOLE)
+def _(spark, sf):
+    written = records.write_records(json_records(spark, sf)[0])
+    return records.read_records(written, RECORD, ["event_id", "user_id"])[0].withColumn("k", F.col("detail.k"))
