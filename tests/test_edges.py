@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fieldform.contracts import ContractError
 from fieldform.operators import history, joins, market, metrics, relative, selection, standardize
 from fieldform.scale import with_group
+from fieldform.sources import writers
 from fieldform.sources.fingerprint import row_fingerprint
 from tests.helpers import by_key, day, entry, field, rotating
 
@@ -141,3 +142,19 @@ def test_a_review_ends_with_its_window(spark):
     spoiled = rows.withColumn("label", F.when(F.col("contest_date") > F.lit(day(98)), 1 - F.col("label")).otherwise(F.col("label")))
     assert selection.review_decision(spoiled, contests=100, dates=30, days=40).first() == first
     assert selection.review_decision(review_rows(spark, good_from=50), contests=100, dates=30, days=40).first()["winner"] == "w000"
+
+
+def test_partitioned_files_follow_the_bytes(spark, tmp_path):
+    rows = spark.range(200_000).select(
+        F.col("id").alias("contest_id"), F.when(F.col("id") < 190_000, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 3)).alias("split"),
+        F.sha2(F.col("id").cast("string"), 256).alias("text"),
+    )
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        manifest = writers.write_partitioned(rows.repartition(6), str(tmp_path / "out"), ["split"])
+        found = {r["split"]: (r["files"], r["contests"]) for r in manifest.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    assert {k: v[1] for k, v in found.items()} == {"hot": 190_000, "c0": 3_333, "c1": 3_334, "c2": 3_333}
+    assert found["hot"][0] > 3 and all(found[c][0] <= 2 for c in ("c0", "c1", "c2"))
