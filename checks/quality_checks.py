@@ -643,6 +643,25 @@ def _(spark, sf):
     return quality.complete_through(rows.select("contest_id", "contest_date").distinct(), have, "2001-06-30")
 
 
+@check(
+    "month_checkpoints",
+    "first_day:d cutoff:d expected:i confirmed:i missing:i rows:i latest:d complete_through:d",
+    """
+WITH due AS (SELECT contest_id, contest_date, count(*) AS n, bool_or(contest_date >= DATE '2000-03-01' AND venue = 2) AS gone FROM entries GROUP BY ALL),
+months AS (SELECT greatest(m, DATE '1994-11-15') AS first_day, least(last_day(m), DATE '2001-06-20') AS cutoff
+  FROM (SELECT unnest(generate_series(DATE '1994-11-01', DATE '2001-06-20', INTERVAL 1 MONTH))::DATE AS m))
+----
+SELECT first_day, cutoff, count(contest_id) AS expected, count(contest_id) FILTER (NOT gone) AS confirmed, count(contest_id) FILTER (gone) AS missing,
+  coalesce(sum(n) FILTER (NOT gone), 0) AS rows, max(contest_date) FILTER (NOT gone) AS latest,
+  coalesce(min(contest_date) FILTER (gone) - INTERVAL 1 DAY, cutoff) AS complete_through
+FROM months LEFT JOIN due ON contest_date BETWEEN DATE '1994-11-15' AND cutoff GROUP BY first_day, cutoff""",
+)
+def _(spark, sf):
+    rows = entries(spark, sf)
+    have = rows.filter("NOT (contest_date >= DATE '2000-03-01' AND venue = 2)")
+    return quality.month_checkpoints(rows.select("contest_id", "contest_date"), have, "1994-11-15", "2001-06-20")
+
+
 @check(
     "audit_snapshot",
     "rule:s violations:i",

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.spec import check
+from fieldform import scale
 from fieldform.operators import cohorts
-from fieldform.plans import search
+from fieldform.plans import registry, search
 from fieldform.plans.panels import blocks_panel
 from fieldform.plans.search import Configuration, RateFolds, Scope
 from fieldform.plans.store import ResultStore
@@ -212,6 +213,66 @@ def _(spark, sf):
     return routing(spark, sf).predictions
 
 
+THROUGH = "2000-12-31"  # the last day that production models learn from
+
+
+def production(spark, sf) -> registry.Production:
+    def build():
+        routes, specs = registry.compile_routing(routing(spark, sf).routes, registry.held_specs(scope_search(spark, sf)))
+        root = scale.new_folder(spark, "registry")
+        registry.refit(blocks_panel(spark, sf), routes, specs, registry.RateFits(), root, THROUGH)
+        return registry.current(spark, root, registry.RateFits(), routes)
+
+    return once("production", spark, sf, build)
+
+
+REFIT = f"""{ROUTE},
+route_table AS MATERIALIZED (SELECT surface, lo, hi, surface || '_' || model_id || CASE WHEN model_id = 'R3' THEN '_' || lo || '_' || hi ELSE '' END AS model_id,
+    CASE WHEN model_id = 'R3' THEN lo ELSE 1000 END AS slo, CASE WHEN model_id = 'R3' THEN hi ELSE 2600 END AS shi, CASE WHEN model_id = 'G0' THEN 0 ELSE 7 END AS m, FALSE AS exact FROM band_route
+  UNION ALL SELECT o.grp, 1200, 1200, o.grp || '_held_1200', f.lo, f.hi, x.m, TRUE FROM over_gate o JOIN final_gate g ON g.grp = o.grp
+  JOIN (SELECT DISTINCT grp, candidate, family, m FROM final_src) x ON x.grp = g.grp AND x.candidate = g.winner JOIN fam f ON f.family = x.family WHERE o.winner = 'held'),
+fitted AS MATERIALIZED (SELECT r.model_id, r.surface, r.slo, r.shi, r.m, count(*) AS train_rows, count(DISTINCT contest_id) AS train_contests, avg(label) AS q,
+    min(contest_date) AS trained_from, max(contest_date) AS trained_through, count(*) FILTER (contest_date = last_day) AS parity_rows
+  FROM (SELECT DISTINCT model_id, surface, slo, shi, m FROM route_table) r
+  JOIN (SELECT t.model_id, s.*, max(contest_date) OVER (PARTITION BY t.model_id) AS last_day FROM straight s
+    JOIN (SELECT DISTINCT model_id, surface, slo, shi FROM route_table) t ON t.surface = s.surface AND s.distance_m BETWEEN t.slo AND t.shi
+    WHERE s.contest_date <= DATE '{THROUGH}') s ON s.model_id = r.model_id GROUP BY ALL)"""
+
+
+@check(
+    "model_registry",
+    "model_id:s surface:s lo:i hi:i blocks:s prior:f train_rows:i train_contests:i trained_from:d trained_through:d parity_rows:i max_abs_error:f",
+    f"""{REFIT}
+---- /*recursive*/
+SELECT model_id, surface, slo AS lo, shi AS hi, array_to_string({NAMES}, ',') AS blocks, q AS prior, train_rows, train_contests, trained_from, trained_through,
+  parity_rows, 0 AS max_abs_error FROM fitted""",
+)
+def _(spark, sf):
+    return production(spark, sf).models
+
+
+@check(
+    "registry_scores",
+    "contest_id:i subject_id:i p_nonmarket:f route:s model_id:s reason:s",
+    f"""{REFIT},
+head AS MATERIALIZED (SELECT contest_id, any_value(contest_date) AS day, any_value(surface) AS surface, any_value(distance_m) AS distance_m
+  FROM panel GROUP BY contest_id HAVING any_value(field_size) >= 8 AND any_value(turn_direction) <> 'straight'),
+placed AS MATERIALIZED (SELECT h.contest_id, h.day, COALESCE(e.model_id, b.model_id) AS model_id FROM head h
+  LEFT JOIN route_table e ON e.exact AND e.surface = h.surface AND e.lo = h.distance_m
+  LEFT JOIN route_table b ON NOT b.exact AND b.surface = h.surface AND h.distance_m BETWEEN b.lo AND b.hi),
+judged AS MATERIALIZED (SELECT p.contest_id, p.subject_id, p.career_starts, p.career_top3, k.* EXCLUDE (contest_id, subject_id), f.q, f.m, f.model_id AS fitted_id,
+  CASE WHEN f.model_id IS NULL THEN 'no_route' WHEN f.trained_through >= l.day THEN 'trained_too_late' WHEN p.career_starts < 3 THEN 'too_few_starts' END AS reason
+  FROM panel p JOIN blocks k ON k.contest_id = p.contest_id AND k.subject_id = p.subject_id LEFT JOIN placed l ON l.contest_id = p.contest_id LEFT JOIN fitted f ON f.model_id = l.model_id)
+---- /*recursive*/
+SELECT contest_id, subject_id, reason, CASE WHEN reason IS NULL THEN fitted_id ELSE '' END AS model_id,
+  CASE WHEN reason IS NULL THEN 'nonmarket-shadow' ELSE 'market-only' END AS route,
+  CASE WHEN reason IS NULL THEN ({rate('q', 'career')} + (m & 1) * {rate('q', 'near')} + (m >> 1 & 1) * {rate('q', 'regime')} + (m >> 2 & 1) * {rate('q', 'course_distance')}) / (1 + bit_count(m)) END AS p_nonmarket
+FROM judged""",
+)
+def _(spark, sf):
+    return registry.score(production(spark, sf), blocks_panel(spark, sf), refuse=False)
+
+
 _CONFIGURATIONS = ", ".join(f"('{c.family}', '{c.name}', {c.complexity_rank}, {float(c.settings['strength'])})" for c in CONFIGURATIONS)
 NESTED = f"""WITH {ROWS},
 folds AS MATERIALIZED (SELECT s.surface, e.y AS fold, count(*) AS train_rows, count(DISTINCT contest_id) AS train_contests, count(DISTINCT contest_date) AS train_dates, avg(label) AS q

@@ -22,6 +22,12 @@ def epoch_day(date: str | Column) -> Column:
     return F.datediff(col(date), F.lit("1970-01-01").cast("date"))
 
 
+def month_end(date: str | Column, last: Column | None = None) -> Column:
+    """Last day of the month, or ``last`` where that comes earlier."""
+    end = F.last_day(col(date))
+    return end if last is None else F.least(end, last)
+
+
 def is_label(position: str | Column, places: int = 3) -> Column:
     """1 for a position in the first places; a starter without position is a known 0."""
     return F.when(col(position).between(1, places), 1).otherwise(0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldform.contracts import ContractError, forbid_columns, forbid_outcomes
-from fieldform.functions.contest import draw_pct
+from fieldform.functions.contest import draw_pct, month_end
 from fieldform.operators.joins import FINISHERS, key_difference, reconcile_keys, reconcile_outer, repeated_keys
 from fieldform.scale import names, with_group
 
@@ -262,6 +262,34 @@ def complete_through(ledger: DataFrame, history: DataFrame, through: str) -> Dat
     )
 
 
+def month_checkpoints(ledger: DataFrame, history: DataFrame, start: str, through: str) -> DataFrame:
+    """State after each month from ``start`` to ``through``, the last one cut there: what is due, confirmed and missing.
+
+    Contests are totalled a month first; only months, also those without any contest, are then added up in order.
+    """
+    first, last = F.lit(start).cast("date"), F.lit(through).cast("date")
+    due = ledger.filter(F.col(DAY).between(first, last)).select(CONTEST, DAY).distinct()
+    rows = history.groupBy(CONTEST).agg(F.count("*").alias("_rows"))
+    by_month = due.join(rows, CONTEST, "left").groupBy(month_end(DAY, last).alias("cutoff")).agg(
+        F.count("*").alias("_due"), F.count("_rows").alias("_there"), F.sum("_rows").alias("_rows"),
+        F.min(F.when(F.col("_rows").isNull(), F.col(DAY))).alias("_gap"), F.max(F.when(F.col("_rows").isNotNull(), F.col(DAY))).alias("_latest"),
+    )
+    each = F.explode(F.sequence(F.trunc(first, "month"), F.greatest(first, last), F.expr("INTERVAL 1 MONTH")))
+    months = ledger.sparkSession.range(1, numPartitions=1).select(each.alias("_m")).filter(first <= last)
+    months = months.select(F.greatest("_m", first).alias("first_day"), month_end("_m", last).alias("cutoff"))
+    so_far = Window.orderBy("cutoff").rowsBetween(Window.unboundedPreceding, 0)
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name).over(so_far), F.lit(0))
+
+    return months.join(by_month, "cutoff", "left").select(
+        "first_day", "cutoff", total("_due").alias("expected"), total("_there").alias("confirmed"),
+        (total("_due") - total("_there")).alias("missing"), total("_rows").alias("rows"),
+        F.max("_latest").over(so_far).alias("latest"),
+        F.coalesce(F.date_sub(F.min("_gap").over(so_far), 1), F.col("cutoff")).alias("complete_through"),
+    )
+
+
 def qa_gate(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """(rule, violations) of row rules, in one aggregation; every count must be 0."""
     wide = df.agg(*[F.count_if(rule).alias(name) for name, rule in rules.items()])
