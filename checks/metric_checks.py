@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.market_checks import newton_sql  # noqa: F401
 from checks.spec import check
+from checks.staged_checks import lines_sql
 from fieldform.operators import cohorts, metrics, ranking, relative, selection
 from fieldform.plans.panels import blocks_panel, panel
 from fieldform.plans.predictions import long_predictions, predictions, training_prior
@@ -179,7 +180,15 @@ def _(spark, sf):
     return by_candidate(spark, sf, calibration=False)
 
 
-@check("subgroup_calibration", "candidate:s dimension:s level:s rows:i intercept:f slope:f")
+@check(
+    "subgroup_calibration",
+    "candidate:s dimension:s level:s rows:i intercept:f slope:f",
+    f"""WITH u AS MATERIALIZED (SELECT q.candidate || '|' || u.dimension || '|' || u.level AS grp, q.candidate, u.dimension, u.level, q.p, q.label AS y FROM preds q, LATERAL (VALUES ('overall', 'all'),
+  ('year', year), ('field_size_band', field_size_band), ('contest_class', contest_class), ('venue', CAST(venue AS VARCHAR)), ('rest_band', rest_band), ('starts_band', starts_band)) u(dimension, level)),
+{lines_sql('u', 'line')}
+---- /*recursive*/
+SELECT g.candidate, g.dimension, g.level, l.rows, l.intercept, l.slope FROM line l JOIN (SELECT DISTINCT grp, candidate, dimension, level FROM u) g ON g.grp = l.grp""",
+)
 def _(spark, sf):
     return by_candidate(spark, sf)
 

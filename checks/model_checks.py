@@ -10,7 +10,6 @@ from fieldform import scale
 from fieldform.operators import cohorts, metrics
 from fieldform.plans import evaluation, models
 from fieldform.plans.panels import blocks_panel, panel
-from fieldform.plans.predictions import predictions
 from fieldform.plans.models import Recipe
 
 KEYS = "contest_id:i subject_id:i "
@@ -169,18 +168,3 @@ def _(spark, sf):
 def _(spark, sf):
     fitted, held, rows = contributions(spark, sf)
     return models.top_coefficients(fitted, models.transform(fitted, held, rows))
-
-
-def staged(spark, sf):
-    wide = predictions(spark, sf).withColumnRenamed("p_form", "p_model")
-    return evaluation.staged_recipe(wide, 1999, 2000, 2001)
-
-
-@check("staged_market_gate", "candidate:s macro_brier:f mean_brier_delta:f se_brier_delta:f within_brier:i is_best:i")
-def _(spark, sf):
-    return staged(spark, sf)["market_gate"]
-
-
-@check("staged_audit", "candidate:s macro_brier:f macro_log_loss:f micro_brier:f contests:i rows:i intercept:f slope:f ece:f")
-def _(spark, sf):
-    return staged(spark, sf)["audit"]
