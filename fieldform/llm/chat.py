@@ -9,7 +9,8 @@ Every ``<``, ``[`` and ``&`` of a text or role is written as an entity, so no co
 template's own or another's) can occur inside one; reading back undoes it.  Nulls: a null role or
 text is empty, a null part is skipped, a turn without parts is empty, turns with a null number
 come first, and a null conversation id is a conversation of its own.  Turns of equal number are
-ordered by role and content; repeated rows stay.  Other columns are ignored.
+ordered by role and content; repeated rows stay.  Texts of any length are kept whole; an empty table gives no
+rows.  Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ alike.  Chunks are deduplicated to identifiers: a 64-bit hash and length, told a
 the texts themselves are read once and never move between tasks.
 
 Nulls: a null text is empty; empty texts equal each other.  A null id is smaller than any other.
-Rows that repeat an id and a text count each, and one of them is kept.  Columns besides id and
-text are ignored, whatever their names.
+Rows that repeat an id and a text count each, and one of them is kept.  Texts of any length are compared
+whole, as longer recipes; an empty table gives no rows.  Columns besides id and text are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ and not listed.  Sets are 64-bit hashes of shingles.
 
 Nulls: a null or empty text, or one without words, has no shingles and links with nothing; a null
 id links with nothing and its component is null.  Rows that repeat an id are one node with the
-links of all of them.  Other columns are ignored.
+links of all of them.  Texts of any length count whole; an empty table gives no rows.  Other columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -7,6 +7,8 @@ then been served for about the same virtual time, so each comes within a documen
 
 Nulls: a null text has no words; a null source is a source of its own, ordered last.  Rows that
 repeat an id are documents of their own.  Documents without words are never taken.
+A text of any length is counted whole and is taken or left whole.  An empty table gives no rows; without any
+word, targets are 0 and nothing is taken.  Other columns are ignored.
 """
 
 from __future__ import annotations

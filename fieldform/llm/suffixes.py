@@ -14,7 +14,8 @@ at equal places (about one byte in 35 is one).
    compared across the pieces by the smallest start of each, combined before the shuffle.
 
 Nulls: a null text is empty; a null id comes after all others.  Documents with one id are ordered by
-a digest of their text; rows that repeat both are judged as one document.  Other columns are ignored.
+a digest of their text; rows that repeat both are judged as one document.  Texts of any length are judged whole; an empty table
+gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ The rule is filed under the one of them that the fewest URLs hold; a URL fetches
 under its own tokens, and only those run their expression.
 
 Distinct URLs are judged once and joined back, so a URL with a third of all rows costs one.  A
-null URL fits no rule.  Rows that repeat are judged alike.  Other columns are kept out of the way.
+null or empty URL fits no rule.  Rows that repeat are judged alike, and a URL of any length is judged whole.  An
+empty table gives no rows.  Other columns are kept out of the way.
 """
 
 from __future__ import annotations

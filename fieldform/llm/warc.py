@@ -9,7 +9,8 @@ Of records with an equal payload of at least ``least`` bytes, the smallest page
 the others are revisits that name it; shorter payloads are all written.  Nulls: a null payload is
 empty, a null page id is larger than any other, a null URL is written as an empty one.  Rows that
 repeat a page id are records of their own; the first of them with a payload holds it.  Line
-breaks in URLs are percent-encoded.  Other columns are ignored.
+breaks in URLs are percent-encoded.  A payload of any length is one record, whole inside one frame; a
+task holds the pages of one Arrow batch.  An empty table gives an empty index.  Other columns are ignored.
 """
 
 from __future__ import annotations

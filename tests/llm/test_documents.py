@@ -159,6 +159,23 @@ def test_mix_meets_its_targets(spark):
     assert counted(out) == counted(mix_sources(docs.repartition(2)).collect())
 
 
+def test_mix_takes_awkward_rows(spark):
+    """Null and repeated ids, texts without words and very long ones: rows are documents of their own."""
+    rows = [(i, t, ["b", None, ""][k % 3]) for k, (i, t) in enumerate(awkward_texts())]
+    docs = with_extras(spark, rows, "doc_id long, text string, source string").repartition(5)
+    out = mix_sources(docs).collect()
+    words = [(i, s, len(word_list(t))) for i, t, s in rows]
+    assert counted((r.doc_id, r.source, r.size) for r in out) == counted(words)
+    for source in ("b", None, ""):
+        own = [r for r in out if r.source == source]
+        total = sum(n for _, s, n in words if s == source)
+        assert {r.source_size for r in own} == {total} and all(r.taken in (0, r.size, 2 * r.size) for r in own)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
+    assert max(r.size for r in out) > 60_000 and sum(r.doc_id is None for r in out) == 2
+    silent = mix_sources(spark.createDataFrame([(1, None, "a"), (None, "", None), (1, " ", "a")], "doc_id long, text string, source string")).collect()
+    assert counted((r.doc_id, r.source, r.size, r.target, r.taken) for r in silent) == counted([(1, "a", 0, 0.0, 0), (None, None, 0, 0.0, 0), (1, "a", 0, 0.0, 0)])
+
+
 def test_empty_documents(nothing):
     assert jaccard_components(nothing).count() == 0
     assert repeated_passages(nothing).count() == 0

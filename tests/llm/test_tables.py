@@ -39,7 +39,8 @@ def url_brute(url):
 
 
 def test_urls(spark):
-    rows = [(k, u) for k, u in enumerate(URLS)] + [(None, URLS[0]), (3, URLS[3])]
+    long = ["http://x.org/" + "es/" * 70_000, "http://" + "a." * 70_000 + "com/de/", "http://x.net/" + "a" * 200_000 + "?sid=1"]
+    rows = [(k, u) for k, u in enumerate(URLS + long)] + [(None, URLS[0]), (3, URLS[3])]
     out = judge_urls(with_extras(spark, rows, "page_id long, url string"), RULES).collect()
     assert counted(out) == counted((k, *url_brute(u)) for k, u in rows)
     assert judge_urls(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
