@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import time
 
+from pyspark.sql import functions as F
+
 from fieldform import scale
-from fieldform.operators import history
+from fieldform.operators import history, metrics
 from fieldform.sources.testtables import starters
 
 
@@ -18,6 +20,41 @@ def moved(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
+FAMILIES = {"a": "x", "b": "x", "c": "y", "d": "other"}
+
+
+def contributions(spark, n=600):
+    """Known and other features, repeats, unknown values and a feature without a name."""
+    rows = spark.range(n).select(
+        F.col("id").alias("contest_id"), F.lit(1).alias("subject_id"), F.when(F.col("id") % 2 == 0, "s").otherwise("t").alias("scope"),
+        F.when(F.col("id") % 7 > 0, (1999 + F.col("id") % 3).cast("string")).alias("year"),
+        F.explode(F.array(*[F.lit(x) for x in ("a", "a", "b", "c", "d", "e", None)])).alias("feature"),
+    )
+    value = (F.col("contest_id") % 5 - 2).cast("double") * F.when(F.col("feature") == "b", -2.0).otherwise(1.0)
+    rows = rows.withColumn("contribution", F.when(F.col("contest_id") % 11 > 0, value))
+    return rows.filter("NOT (contest_id % 13 = 0 AND feature <=> 'c')")
+
+
+def test_rollup_equals_sums_by_entry_in_sql(spark):
+    contributions(spark).createOrReplaceTempView("rollup_rows")
+    want = spark.sql("""
+    WITH g AS (SELECT contest_id, scope, year, 'feature' AS grain, feature AS name, sum(contribution) AS c FROM rollup_rows GROUP BY ALL
+      UNION ALL SELECT contest_id, scope, year, 'family', CASE WHEN feature IN ('a', 'b') THEN 'x' WHEN feature = 'c' THEN 'y' ELSE 'other' END, sum(contribution)
+      FROM rollup_rows GROUP BY ALL),
+    s AS (SELECT scope, year, grain, name, c FROM g UNION ALL SELECT scope, 'ALL', grain, name, c FROM g)
+    SELECT scope, year, grain, name, count(*), round(sum(abs(c)) / count(*), 9), round(sum(c) / count(*), 9), round(count_if(c <> 0) / count(*), 9) FROM s GROUP BY ALL""")
+    got = metrics.importance_rollup(contributions(spark), FAMILIES)
+    got = got.select("scope", "year", "grain", "name", "rows", *[F.round(c, 9) for c in ("mean_abs", "mean_signed", "nonzero_share")])
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
+def test_rollup_sends_one_row_an_entry(spark):
+    rows = scale.materialize(contributions(spark, 4000).filter("feature IN ('a', 'b', 'c')").coalesce(2))
+    before = moved(spark)
+    metrics.importance_rollup(rows, FAMILIES).collect()
+    assert moved(spark) - before < 1.5 * 4000
+
+
 def test_closure_leaves_the_entries_where_they_are(spark, sf):
     rows = starters(spark, sf)
     usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
