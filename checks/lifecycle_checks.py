@@ -15,7 +15,7 @@ from fieldform.sources.testtables import entries, starters, table
 def updated(spark, sf):
     """All entries as a first version, then one day with other weights and one contest less in the ledger."""
     rows, root = entries(spark, sf), scale.new_folder(spark, "parts")
-    ledger = rows.select("contest_id", "contest_date").distinct()
+    ledger = scale.materialize(rows.select("contest_id", "contest_date").distinct(), "ledger")
     before = parts.apply_parts(spark, rows, ledger, root)
     day = rows.agg(F.max_by("contest_date", F.struct(F.datediff(F.lit("1999-06-15").cast("date"), "contest_date") >= 0, "contest_date"))).scalar()
     fresh = rows.filter(F.col("contest_date") == day).withColumn("weight", F.col("weight") + 1)

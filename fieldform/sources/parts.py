@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from fieldform.contracts import ContractError
 from fieldform.operators.joins import FINISHERS, key_difference, repeated_keys, upsert_contests
-from fieldform.scale import exists
+from fieldform.scale import exists, materialize
 from fieldform.sources.fingerprint import row_fingerprint
 
 CONTEST, SUBJECT, DAY = "contest_id", "subject_id", "contest_date"
@@ -75,13 +75,17 @@ def table_fingerprint(manifest: DataFrame, name: str) -> tuple[int, str]:
     return sum(r["rows"] for r in rows), "-".join(map(str, words))
 
 
-def _write(df: DataFrame, name: str, root: str) -> list[tuple]:
-    """Write the parts of ``df`` side by side; a month too large for one task is split into several files."""
+def _write(df: DataFrame, name: str, root: str, gathered: bool = False) -> tuple[DataFrame, list[tuple]]:
+    """Write the parts of ``df`` side by side; a month too large for one task is split into several files.
+
+    Rows that are ``gathered``, as they come from written parts, stay in their tasks: each makes a file a part it reads.
+    """
     folder = f"{root}/data/{name}-{uuid.uuid4().hex}"
-    df.withColumn("part", part_of()).hint("rebalance", "part").write.partitionBy("part").parquet(folder)
+    rows = df.withColumn("part", part_of())
+    (rows if gathered else rows.hint("rebalance", "part")).write.partitionBy("part").parquet(folder)
     layout = json.dumps(df.schema.jsonValue())
     written = df.sparkSession.read.schema(df.schema).parquet(folder).select(df.columns)
-    return [(name, r["part"], r["rows"], r["fingerprint"], folder, layout) for r in _prints(written).collect()]
+    return written, [(name, r["part"], r["rows"], r["fingerprint"], folder, layout) for r in _prints(written).collect()]
 
 
 def _publish(spark: SparkSession, root: str, rows: list[tuple]) -> DataFrame:
@@ -105,8 +109,11 @@ def apply_parts(spark: SparkSession, fresh: DataFrame, ledger: DataFrame, root:
     root = root.rstrip("/")
     before = read_manifest(spark, root)
     old = {} if before is None else {(r["table_name"], r["part"]): tuple(r) for r in before.collect()}
+    ledger = materialize(ledger, "parts-ledger")  # two columns that every step below reads
+    if key_difference(fresh, ledger, [CONTEST]).head(1):
+        raise ContractError("the update holds contests that the ledger does not expect")
     touched = {r[0] for r in fresh.select(part_of()).distinct().collect()}
-    audit = fresh.join(ledger.select(CONTEST).distinct(), CONTEST, "left_semi")
+    audit = fresh
     if old:
         # Two narrow columns of the whole table say where contests lie.
         placed = read_part_table(before, "audit").select(CONTEST, part_of().alias("part")).distinct()
@@ -116,13 +123,12 @@ def apply_parts(spark: SparkSession, fresh: DataFrame, ledger: DataFrame, root:
         audit = upsert_contests(read_part_table(before, "audit", sorted(touched)), fresh, ledger)
     if repeated_keys(audit, [CONTEST, SUBJECT]).head(1):
         raise ContractError("audit repeats a subject in a contest")
-    if key_difference(fresh, ledger, [CONTEST]).head(1):
-        raise ContractError("the update holds contests that the ledger does not expect")
     expected = {("ledger", r["part"]): (r["rows"], r["fingerprint"]) for r in _prints(ledger).collect()}
     changed = [p for (_, p), seen in expected.items() if ("ledger", p) not in old or old["ledger", p][2:4] != seen]
-    made = _write(audit, "audit", root) + _write(audit.filter(F.col("status").isin(*FINISHERS)), "history", root)
+    written, made = _write(audit, "audit", root)
+    made += _write(written.filter(F.col("status").isin(*FINISHERS)), "history", root, gathered=True)[1]
     if changed:
-        made += _write(ledger.filter(part_of().isin(changed)), "ledger", root)
+        made += _write(ledger.filter(part_of().isin(changed)), "ledger", root)[1]
     kept = {k: r for k, r in old.items() if (k[0] == "ledger" and k in expected) or (k[0] != "ledger" and k[1] not in touched)}
     for r in made:
         own = old.get(r[:2])
