@@ -169,7 +169,7 @@ PROBED = tuple(c.split(":")[0] for c in (COUNTS + DELTAS + RECENT + TREND + "fro
     "(SELECT max(contest_date) FROM starters)) AS rows, 0 AS changed",
 )
 def _(spark, sf):
-    rows = starters(spark, sf)
+    rows = starters(spark, sf).drop("grp", "age")
     last = rows.agg(F.max("contest_date")).scalar()
     # Every outcome of the target rows changes, also those derived from others.
     place = F.col("field_size") - F.coalesce("finish_position", F.lit(0)) + 1

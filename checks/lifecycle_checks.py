@@ -9,12 +9,12 @@ from checks.spec import check
 from fieldform import scale
 from fieldform.operators import history, quality
 from fieldform.sources import parts
-from fieldform.sources.testtables import entries, starters, table
+from fieldform.sources.testtables import entries, starters, table, whole_entries
 
 
 def updated(spark, sf):
     """All entries as a first version, then one day with other weights and one contest less in the ledger."""
-    rows, root = entries(spark, sf), scale.new_folder(spark, "parts")
+    rows, root = whole_entries(spark, sf), scale.new_folder(spark, "parts")
     ledger = scale.materialize(rows.select("contest_id", "contest_date").distinct(), "ledger")
     before = parts.apply_parts(spark, rows, ledger, root)
     day = rows.agg(F.max_by("contest_date", F.struct(F.datediff(F.lit("1999-06-15").cast("date"), "contest_date") >= 0, "contest_date"))).scalar()
@@ -129,4 +129,4 @@ SELECT probe, v.variant, predictor, rows, 0 AS changed, CASE WHEN predictor = 'f
 FROM n, (VALUES ('inverted'), ('nulled')) v(variant), (SELECT unnest({list(PROBED)}) AS predictor)""",
 )
 def _(spark, sf):
-    return history.leakage_closure(starters(spark, sf), history.build_panel, PROBED, ["front_share"], outcome_changes())
+    return history.leakage_closure(starters(spark, sf).drop("grp", "age"), history.build_panel, PROBED, ["front_share"], outcome_changes())

@@ -48,3 +48,28 @@ def test_lines_are_shuffled_once(spark, sf, monkeypatch):
     assert plan.count("lineitem.parquet") == 1
     # Lines by contest, orders by contest twice, and both sides of the join with the parts.
     assert planned.count("Exchange hashpartitioning") == 5
+
+
+def test_written_entries_do_not_move_to_their_subjects(spark, sf, tmp_path, monkeypatch):
+    sf, plans, usual = folder(spark, sf, tmp_path), [], scale.materialize
+    monkeypatch.setattr(scale, "materialize", lambda df, name="step": plans.append(df._jdf.queryExecution().toString()) or usual(df, name))
+    rows = testtables.entries(spark, sf)
+    assert len(plans) == 1 and "p_brand" not in plans[0]
+    want = testtables.build_entries(spark, sf)
+    assert rows.columns == want.columns and rows.dtypes == want.dtypes
+    assert sorted(rows.collect(), key=str) == sorted(want.collect(), key=str)
+    counted = rows.groupBy("surface").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in counted
+
+
+def test_lines_of_lost_and_repeated_parts(spark, sf, tmp_path):
+    sf, other = folder(spark, sf, tmp_path), str(tmp_path / "other")
+    for name in ("orders", "lineitem"):
+        testtables.table(spark, sf, name).write.parquet(f"{other}/{name}.parquet")
+    part = testtables.table(spark, sf, "part")
+    part = part.filter("p_partkey % 7 <> 0")
+    part.unionByName(part.filter("p_partkey % 11 = 0").withColumn("p_brand", F.lit("again"))).write.parquet(f"{other}/part.parquet")
+    want = testtables.build_entries(spark, other)
+    assert testtables.lean_entries(spark, other) is None
+    assert sorted(testtables.entries(spark, other).collect(), key=str) == sorted(want.collect(), key=str)
+    assert want.filter("subject_id % 7 = 0").isEmpty() and not want.filter("grp = 'again'").isEmpty()
