@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from itertools import permutations
 
 import pytest
@@ -173,3 +174,21 @@ def test_lock_local_date(spark):
     assert {r["rule"] for r in locks.make_lock(rows, local_zone="Asia/Tokyo")[1].collect()} == {"start_date"}
 
 
+
+
+def test_rows_meet_their_places_where_they_are(spark):
+    rows = spark.createDataFrame([(c, i, 1.0 + i % 3) for c in range(5) for i in range(4 + c)] + [(None, 0, 2.0), (9, 0, -1.0)], "contest_id long, no int, x double")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = market.harville_top_k(rows, "x", largest=8)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # Rows and arrays move by contest alone; rows do not meet their places by strength.
+        moves = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
+        assert moves and all("," not in keys for keys in moves)
+        got = {(r["contest_id"], r["no"]): r["p_top"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert len(got) == 32 and got[None, 0] is None and got[9, 0] is None
+    for c in range(5):
+        assert abs(sum(got[c, i] for i in range(4 + c)) - 3) < 1e-9
