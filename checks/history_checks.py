@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks.spec import check
 from fieldform.operators import carried, history
 from fieldform.plans.panels import panel
-from fieldform.sources.testtables import starters
+from fieldform.sources.testtables import light_starters
 
 KEYS = "contest_id:i subject_id:i "
 COUNTS = (
@@ -25,32 +25,32 @@ TREND = "trend_finish:f trend_time:f trend_top3:f trend_early:f "
 
 @check("prior_counts", KEYS + COUNTS, "SELECT * FROM counted")
 def _(spark, sf):
-    return history.prior_counts(starters(spark, sf))
+    return history.prior_counts(light_starters(spark, sf))
 
 
 @check("prev_deltas", KEYS + DELTAS, "SELECT * FROM panel")
 def _(spark, sf):
-    return history.prev_deltas(starters(spark, sf))
+    return history.prev_deltas(light_starters(spark, sf))
 
 
 @check("recent_form", KEYS + RECENT, "SELECT * FROM starters JOIN rep_recent USING (subject_id, contest_date)")
 def _(spark, sf):
-    return history.recent_form(starters(spark, sf))
+    return history.recent_form(light_starters(spark, sf))
 
 
 @check("recent_trend", KEYS + TREND, "SELECT * FROM starters JOIN rep_trend USING (subject_id, contest_date)")
 def _(spark, sf):
-    return history.recent_trend(starters(spark, sf))
+    return history.recent_trend(light_starters(spark, sf))
 
 
 @check("winner_relative", KEYS + "winner_time:f rel_time:f", "SELECT * FROM timed")
 def _(spark, sf):
-    return history.winner_relative(starters(spark, sf))
+    return history.winner_relative(light_starters(spark, sf))
 
 
 @check("front_share", KEYS + "front_share:f", "SELECT * FROM panel")
 def _(spark, sf):
-    return history.front_share(history.recent_form(starters(spark, sf)))
+    return history.front_share(history.recent_form(light_starters(spark, sf)))
 
 
 @check(
@@ -59,7 +59,7 @@ def _(spark, sf):
     "SELECT * FROM panel",
 )
 def _(spark, sf):
-    return history.build_panel(starters(spark, sf))
+    return history.build_panel(light_starters(spark, sf).drop("grp", "age"))
 
 
 @check(
@@ -69,7 +69,7 @@ def _(spark, sf):
     "SELECT * FROM blocks",
 )
 def _(spark, sf):
-    return history.strict_prior_blocks(starters(spark, sf))
+    return history.strict_prior_blocks(light_starters(spark, sf))
 
 
 # Targets: every contest of the last two years, scored from the history before each date.
@@ -111,7 +111,7 @@ FROM t JOIN n ON n.contest_id = t.contest_id AND n.subject_id = t.subject_id
 LEFT JOIN l ON l.subject_id = t.subject_id""",
 )
 def _(spark, sf):
-    rows = starters(spark, sf)
+    rows = light_starters(spark, sf)
     past = rows.filter(F.col("contest_date") < ASOF_TARGET)
     roster = rows.filter(F.col("contest_date") >= ASOF_TARGET).drop(
         "finish_position", "time_s", "early_position", "label", "finish_pct", "early_pct"
@@ -128,7 +128,7 @@ def _(spark, sf):
     "FROM starters QUALIFY start_no <= 4",
 )
 def _(spark, sf):
-    return history.last_k_per_subject(starters(spark, sf), 4)
+    return history.last_k_per_subject(light_starters(spark, sf), 4)
 
 
 @check(
@@ -156,7 +156,7 @@ SELECT count(CASE WHEN contest_date < DATE '2001-03-01' THEN 1 END) AS rows,
 FROM starters""",
 )
 def _(spark, sf):
-    return history.asof_slice(starters(spark, sf), "2001-03-01", 7, "2001-02-28")[1]
+    return history.asof_slice(light_starters(spark, sf), "2001-03-01", 7, "2001-02-28")[1]
 
 
 PROBED = tuple(c.split(":")[0] for c in (COUNTS + DELTAS + RECENT + TREND + "front_share:f").split())
@@ -169,7 +169,7 @@ PROBED = tuple(c.split(":")[0] for c in (COUNTS + DELTAS + RECENT + TREND + "fro
     "(SELECT max(contest_date) FROM starters)) AS rows, 0 AS changed",
 )
 def _(spark, sf):
-    rows = starters(spark, sf).drop("grp", "age")
+    rows = light_starters(spark, sf).drop("grp", "age")
     last = rows.agg(F.max("contest_date")).scalar()
     # Every outcome of the target rows changes, also those derived from others.
     place = F.col("field_size") - F.coalesce("finish_position", F.lit(0)) + 1
@@ -193,6 +193,6 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """The state through 1999, moved on by a quarter, and the panel of everything after it."""
-    rows = starters(spark, sf)
+    rows = light_starters(spark, sf)
     state = carried.extend(carried.carry(rows, dt.date(1999, 12, 31)), rows, dt.date(2000, 3, 31))
     return carried.carried_panel(state, rows.filter("contest_date > DATE '2000-03-31'"))

@@ -9,7 +9,7 @@ from checks.spec import check
 from fieldform import scale
 from fieldform.operators import history, quality
 from fieldform.sources import parts
-from fieldform.sources.testtables import entries, starters, table, whole_entries
+from fieldform.sources.testtables import entries, light_starters, table, whole_entries
 
 
 def updated(spark, sf):
@@ -129,4 +129,4 @@ SELECT probe, v.variant, predictor, rows, 0 AS changed, CASE WHEN predictor = 'f
 FROM n, (VALUES ('inverted'), ('nulled')) v(variant), (SELECT unnest({list(PROBED)}) AS predictor)""",
 )
 def _(spark, sf):
-    return history.leakage_closure(starters(spark, sf).drop("grp", "age"), history.build_panel, PROBED, ["front_share"], outcome_changes())
+    return history.leakage_closure(light_starters(spark, sf).drop("grp", "age"), history.build_panel, PROBED, ["front_share"], outcome_changes())

@@ -52,7 +52,7 @@ def test_lines_are_shuffled_once(spark, sf, monkeypatch):
 
 def test_written_entries_do_not_move_to_their_subjects(spark, sf, tmp_path, monkeypatch):
     sf, plans, usual = folder(spark, sf, tmp_path), [], scale.materialize
-    monkeypatch.setattr(scale, "materialize", lambda df, name="step": plans.append(df._jdf.queryExecution().toString()) or usual(df, name))
+    monkeypatch.setattr(scale, "materialize", lambda df, name="step", **kw: plans.append(df._jdf.queryExecution().toString()) or usual(df, name, **kw))
     rows = testtables.entries(spark, sf)
     assert len(plans) == 1 and "p_brand" not in plans[0]
     want = testtables.build_entries(spark, sf)

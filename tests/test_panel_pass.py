@@ -57,3 +57,20 @@ def test_written_steps_keep_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not left and out.count() == 1000
+
+
+def test_entries_by_contest_meet_their_facts_where_they_lie(spark, sf):
+    rows = starters(spark, sf)
+    lying = scale.materialize(rows, "lying", by="contest_id")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = history.build_panel(lying, by_contest=True)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # Facts by contest, rows by subject; rows do not move by contest.
+        assert plan.count("Exchange hashpartitioning") == 2 and "Exchange hashpartitioning(contest_id" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    want = history.build_panel(rows)
+    assert out.columns == want.columns
+    assert sorted(out.collect(), key=str) == sorted(want.collect(), key=str)
