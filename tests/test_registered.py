@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import spec
 from checks.registry import CHECKS
-from fieldform.plans import models
+from fieldform.plans import evaluation, models
 from fieldform.sources.testtables import table
 
 
@@ -28,3 +28,15 @@ def test_consensus_counts_every_order(spark, sf):
     orders = table(spark, sf, "orders")
     assert got.agg(F.sum("evidence")).first()[0] == orders.count()
     assert got.where("k % 2 = 1").count() > 0
+
+
+def test_ablation_drops_every_block(spark, sf, monkeypatch):
+    asked = []
+
+    def listed(cohort, panel, years, recipes):
+        asked.extend(recipes)
+        return cohort.limit(0).select(F.lit("").alias("candidate"), *evaluation.PRED[1:-1], F.lit(0.0).alias("p"))
+
+    monkeypatch.setattr(evaluation, "expanding_oof", listed)
+    CHECKS["block_ablation"].build(spark, sf)
+    assert [r.dropped for r in asked] == [(), *[(b,) for b in models.NUMERIC_BLOCKS]]
