@@ -59,6 +59,29 @@ def test_written_steps_keep_no_shuffle_files(spark):
     assert not left and out.count() == 1000
 
 
+def test_blocks_in_one_pass_equal_joined_cells(spark, sf, monkeypatch):
+    for rows in (starters(spark, sf), scale.materialize(spoiled(starters(spark, sf)))):
+        rows = rows.unionByName(rows.filter("contest_id % 7 = 0"))
+        once = history.strict_prior_blocks(rows, tolerance=400)
+        with monkeypatch.context() as m:
+            m.setattr(scale, "GROUP_ROWS", 0)
+            joined = history.strict_prior_blocks(rows, tolerance=400)
+        assert once.dtypes == joined.dtypes
+        once, joined = scale.materialize(once), scale.materialize(joined)
+        assert once.count() == rows.count()
+        assert once.exceptAll(joined).isEmpty() and joined.exceptAll(once).isEmpty()
+
+
+def test_blocks_take_one_shuffle(spark, sf):
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = history.strict_prior_blocks(scale.materialize(starters(spark, sf)))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_entries_by_contest_meet_their_facts_where_they_lie(spark, sf):
     rows = starters(spark, sf)
     lying = scale.materialize(rows, "lying", by="contest_id")
