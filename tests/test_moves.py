@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from fieldform import scale
-from fieldform.operators import history, metrics
+from fieldform.operators import history, metrics, selection
 from fieldform.sources import parts
 from fieldform.sources.testtables import entries, starters
 
@@ -79,3 +79,37 @@ def test_first_version_of_parts_moves_the_entries_once(spark, sf, tmp_path):
     for name, want in (("audit", rows), ("history", rows.filter("status <> 'scratched'"))):
         got = parts.read_part_table(manifest, name, verify=True).select(rows.columns)
         assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def priced(spark, n):
+    rows = spark.range(n, numPartitions=3).select(
+        F.when(F.col("id") % 97 > 0, F.col("id") % (n // 12)).alias("contest_id"), F.col("id").alias("subject_id"),
+        (F.col("id") % 5 % 2).cast("int").alias("label"), (F.rand(1) * 0.9).alias("m"), (F.rand(2) * 0.9).alias("n"),
+    ).filter("contest_id IS NOT NULL")
+    return scale.materialize(rows.withColumn("contest_date", F.date_add(F.lit("2000-01-01"), (F.col("contest_id") % 9).cast("int"))))
+
+
+def test_blends_equal_the_gate_over_unfolded_losses(spark):
+    rows = priced(spark, 600)
+    long = rows.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in selection.DEFAULT_WEIGHTS])))
+    long = long.withColumn("p", (1 - F.col("weight")) * F.col("m") + F.col("weight") * F.col("n"))
+    long = long.withColumn("candidate", F.format_string("blend_w%.2f", "weight"))
+    table, decision = selection.select_one_se(metrics.contest_losses(long), "blend_w0.00")
+    got, decided = selection.blend_one_se(rows, "m", "n")
+
+    def plain(df, columns):
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(columns).collect())
+
+    assert set(got.columns) == {*table.columns, "weight"}
+    assert plain(got, table.columns) == plain(table, table.columns)
+    assert plain(decided, decision.columns) == plain(decision, decision.columns)
+    want = metrics.micro_scores(long, ["weight"]).select("weight", "micro_brier", "micro_log_loss", "rows")
+    assert plain(selection.blend_grid(rows, "m", "n"), ["weight", "brier", "log_loss", "rows"]) == plain(want, want.columns)
+
+
+def test_blends_move_the_entries_once(spark):
+    rows = priced(spark, 6000)
+    for run in (lambda: selection.blend_grid(rows, "m", "n"), lambda: selection.blend_one_se(rows, "m", "n")[0]):
+        before = moved(spark)
+        run().collect()
+        assert moved(spark) - before < 1.3 * 6000
