@@ -199,3 +199,23 @@ def test_inner_years_lie_before(spark, panel):
             search.nested_search(RateFolds(rows), outer, one, ResultStore(spark))
     with pytest.raises(ContractError):
         search.nested_search(RateFolds(rows), {1999: (1998,)}, one, ResultStore(spark))
+
+
+def test_rates_are_judged_once_a_contest_and_kept_when_chosen(spark, panel):
+    rows = cohorts.select_cohort(panel, "turf")
+    some = [Configuration(f, f"{f}_{k}", k, {"blocks": b, "strength": 40.0 / k}) for f, b in (("career", ()), ("near", ("near",))) for k in (1, 2, 3)]
+    folds, store, outer = RateFolds(rows), ResultStore(spark), {2003: (2002,), 2004: (2002, 2003)}
+    out = search.nested_search(folds, outer, some, store, "career")
+    names = [json.loads(k)["configurations"] for k in store.built if "configurations" in k]
+    assert names and all(len(n) <= 2 for n in names)  # one a family, not all six
+    facts = {r.fold: r.prior for r in out.folds.collect()}
+    inner = [
+        folds.predict({"scored": rows.filter(F.year("contest_date") == i)}, some, {"prior": facts[i]}).withColumn("outer_year", F.lit(o))
+        for o, years in outer.items() for i in years
+    ]
+    ranks = spark.createDataFrame([(c.name, c.complexity_rank) for c in some], "candidate string, complexity_rank int")
+    long = inner[0].unionByName(inner[1]).unionByName(inner[2]).withColumn("family", F.split("candidate", "_")[0])
+    want = selection.grouped_simplest(metrics.contest_losses(long, by=("outer_year", "family", "candidate")), ["outer_year", "family"], ranks)
+    assert set(out.tuning.columns) == set(want.columns)
+    plain = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(want.columns).collect())
+    assert plain(out.tuning) == plain(want)
