@@ -144,6 +144,18 @@ def test_calibration_line_recovers_a_known_line(spark):
     assert row["slope"] == pytest.approx(1.5, abs=0.06)
 
 
+def test_steep_lines_are_exact_and_try_whole_steps_first(spark, monkeypatch):
+    """Two prices, so the line goes through both rates; the whole step is always taken here."""
+    asked, real = [], metrics._newton_step
+    monkeypatch.setattr(metrics, "_newton_step", lambda *a: asked.append(a[4]) or real(*a))
+    rows = [(0.5, 1)] * 30 + [(0.5, 0)] * 70 + [(0.52, 1)] * 60 + [(0.52, 0)] * 40
+    row = metrics.calibration_line(spark.createDataFrame(rows, "p double, label int")).first()
+    low, high = math.log(30 / 70), math.log(60 / 40)
+    assert row["intercept"] == pytest.approx(low, rel=1e-12)
+    assert row["slope"] == pytest.approx((high - low) / math.log(0.52 / 0.48), rel=1e-11)
+    assert set(asked) == {(1.0,)}
+
+
 def test_calibration_line_needs_rows_and_two_outcomes(spark):
     few = preds(spark, [("a", 1, i, i % 2, 0.1 + 0.05 * i) for i in range(9)])
     one = preds(spark, [("a", 1, i, 1, 0.1 + 0.05 * i) for i in range(12)])
